@@ -115,3 +115,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     full = at.where(~edge).withColumn("more", F.when((F.col("rest") > 0) & (F.col("before") + F.col("size") <= F.col("rest")), 1).otherwise(0))
     read = full.select("id", "source", "n_tokens", "weight", "epochs", "whole", "more", "row").union(inside.select("id", "source", "n_tokens", "weight", "epochs", "whole", more.alias("more"), "row"))
     return read.select(F.col("id").alias(id_col), "source", "n_tokens", F.round("weight", 9).alias("weight"), F.round("epochs", 6).alias("epochs"), (F.col("whole") + F.col("more")).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, each as often as plan says (see there for the options); rows that repeat an id are read alike, as often as the one that is read most."""
+    copies = plan(docs, id_col, source_col, text_col, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_again")).drop("_again")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, mixing, quality_rules, simhash, warc
+from . import chat_format, exact_dedup, language_id, line_dedup, mixing, piece_lattice, quality_classifier, quality_rules, simhash, warc
 from .common import table
 
 
@@ -27,6 +27,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_lattice.encode_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
+    ids = F.sha2(F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "scores", ids.alias("ids_sha256"), "decoded_sha256", "lossless")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -39,11 +45,19 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(more))).withColumnRenamed("conv", "conv_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"), repeats=2.0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_simhash, op4_exact_dedup, op6_line_dedup, op7_chat_format, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_simhash, op4_exact_dedup, op5_sentencepiece, op6_line_dedup, op7_chat_format, op8_quality_classifier, op9_language_id, op10_mixing)}
 
 ORACLE: dict[str, str] = {
     "op2_warc": """
