@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from genoquill.llm import line_dedup, mixing, piece_lattice, quality_classifier, simhash
 from genoquill.llm.common import materialize, table
 
-#: Near-duplicates share at least 0.8 of their shingles of five words; their fingerprints differ in few bits.
-SHINGLE, DISTANCE = 5, 4
+#: Near-duplicates share 0.8 of their shingles of five words or more; see simhash.WIDE_DISTANCE.
+SHINGLE = 5
 MOST_REPEATS = 2.0
+#: A document that keeps a smaller share of its characters has its lines in others already, and goes.
+LEAST_LEFT = 0.2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +25,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay in one document only; documents that lose all their words go."""
-    left = line_dedup.drop_lines(docs)
-    return left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Lines of recurring templates stay in one document only; documents that lose nearly all of their text to others go."""
+    left = line_dedup.drop_lines(docs.withColumn("_before", F.length("text")))
+    changed = F.col("n_dropped") > 0
+    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.where(~changed | (F.length(F.btrim("text")) >= LEAST_LEFT * F.col("_before"))).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    return simhash.keep_one(docs, width=SHINGLE, distance=DISTANCE)
+    return simhash.keep_one(docs, width=SHINGLE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
