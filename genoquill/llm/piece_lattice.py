@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 def load_vocabulary(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
@@ -43,78 +44,148 @@ class Codec:
         self.piece = {p: (i, s) for i, (p, s, k) in enumerate(zip(pieces, scores, kinds, strict=True)) if k == 0 and p}
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 1}
         self.raw = [bytes([int(p[3:5], 16)]) if k == 1 else p.replace(MARK, " ").encode() if k == 0 else b"" for p, k in zip(pieces, kinds, strict=True)]
-        self.longest = max(map(len, self.piece), default=1)
         self.unknown = min((s for s in scores if s > -1e8), default=0.0) - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.piece):
             raise ValueError("a piece holds a space mark behind other characters")
+        #: The pieces by their characters; at the empty key a piece's (score, id).
+        self.longest = max(map(len, self.piece), default=1)
+        self.trie: dict = {}
+        for p, (i, score) in self.piece.items():
+            node = self.trie
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[""] = (score, i)
         self.units = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
-        self.width = 0
-
-    def lattice(self, unit: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
-        """Best score of each prefix, and the edges (start, score, ids) that end at each place."""
-        n, get = len(unit), self.piece.get
-        best, edges = [0.0] * (n + 1), [[] for _ in range(n + 1)]
-        for end in range(1, n + 1):
-            at = edges[end]
-            for start in range(max(0, end - self.longest), end):
-                if found := get(unit[start:end]):
-                    at.append((start, found[1], found[:1]))
-            if not at or at[-1][0] != end - 1:
-                at.append((end - 1, self.unknown, tuple(self.byte[x] for x in unit[end - 1].encode())))
-            best[end] = max(best[start] + s for start, s, _ in at)
-        return best, edges
+        self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
+
+    def raw_ids(self, char: str) -> tuple[int, ...]:
+        return tuple(self.byte[x] for x in char.encode())
+
+    def forward(self, unit: str) -> tuple[float, tuple[int, ...], float]:
+        """Viterbi: score and ids of the best segmentation, and how much worse the second best is.
+
+        Of equal scores the one with the smaller ids, compared from the end, is the better one.
+        """
+        n, low, unknown, longest = len(unit), -math.inf, self.unknown, self.longest
+        best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            here, behind, alone, end, node = best[start], second[start], True, start, self.trie
+            for ch in unit[start : start + longest]:
+                node = node.get(ch)
+                if node is None:
+                    break
+                end += 1
+                found = node.get("")
+                if found is None:
+                    continue
+                score, piece = found
+                if end == start + 1:
+                    alone = False
+                x, old = here + score, best[end]
+                if x > old or x == old and (piece,) < back[end][1]:
+                    y = behind + score
+                    second[end] = old if old > y else y
+                    best[end], back[end] = x, (start, (piece,))
+                elif x > second[end]:
+                    second[end] = x
+            if alone:
+                x, end, ids = here + unknown, start + 1, self.raw_ids(unit[start])
+                if x > best[end] or x == best[end] and ids < back[end][1]:
+                    second[end] = max(best[end], behind + unknown)
+                    best[end], back[end] = x, (start, ids)
+                elif x > second[end]:
+                    second[end] = x
+        out, place = [], n
+        while place:
+            place, ids = back[place]
+            out.append(ids)
+        return best[n], tuple(i for ids in reversed(out) for i in ids), best[n] - second[n]
 
     def search(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of one unit, best first; equal scores in the order of their ids from the end."""
-        best, edges = self.lattice(unit)
-        heap, out, count = [(-best[-1], (), len(unit), 0.0)], [], 0
+        """The n best (score, ids) of one unit, best first, by A-star from the end; the best scores of all prefixes are its heuristics.
+
+        An entry of the heap links to the one that it extends, so a path costs no copies however long the unit is.
+        """
+        size, longest = len(unit), self.longest
+        best, edges = [0.0] + [-math.inf] * size, [[] for _ in range(size + 1)]
+        for start in range(size):
+            alone, end, node = True, start, self.trie
+            for ch in unit[start : start + longest]:
+                node = node.get(ch)
+                if node is None:
+                    break
+                end += 1
+                if found := node.get(""):
+                    alone = alone and end != start + 1
+                    edges[end].append((start, found[0], (found[1],)))
+                    best[end] = max(best[end], best[start] + found[0])
+            if alone:
+                edges[start + 1].append((start, self.unknown, self.raw_ids(unit[start])))
+                best[start + 1] = max(best[start + 1], best[start] + self.unknown)
+        heap, out, count = [(-best[-1], 0, None, size, 0.0)], [], 0
         while heap and len(out) < n:
-            _, path, place, behind = heapq.heappop(heap)
+            _, _, path, place, behind = heapq.heappop(heap)
             if not place:
-                out.append((behind, tuple(i for ids in reversed(path) for i in ids)))
+                ids = []
+                while path:
+                    path, part = path
+                    ids += part
+                out.append((behind, tuple(ids)))
                 continue
-            for start, s, ids in edges[place]:
-                count += 1
-                heapq.heappush(heap, (-(behind + s + best[start]), (*path, ids), start, behind + s))
+            for start, score, ids in edges[place]:
+                count -= 1  # of equal scores the one reached last, so that a path is followed to its end
+                heapq.heappush(heap, (-(behind + score + best[start]), count, (path, ids), start, behind + score))
         return out
 
-    def unit(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        if n != self.width or len(self.known) >= REMEMBERED:
-            self.known, self.width = {}, n
+    def unit(self, unit: str) -> tuple[float, tuple[int, ...], float]:
         if (found := self.known.get(unit)) is None:
-            found = self.search(unit, n)
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.forward(unit)
             if len(unit) <= 48:
                 self.known[unit] = found
         return found
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
-        """The n best (score, ids) of a text, best first; fewer if it has fewer. An empty text has one, without pieces."""
+        """The n best (score, ids) of a text, best first; fewer if it has fewer. An empty text has one, without pieces.
+
+        A unit's second best score tells whether any of its other segmentations can be among the n best of the text;
+        only then is it searched.
+        """
         if not text:
             return [(0.0, [])]
-        units, known = [], self.known if n == self.width else {}
+        names, units, get = [], [], self.known.get
         for k, part in enumerate(text.split(MARK)):
             if k:  # a mark that is in the text itself
-                units.append([(self.unknown, tuple(self.byte[x] for x in MARK.encode()))])
+                names.append("")
+                units.append((self.unknown, self.raw_ids(MARK), math.inf))
             part = part.replace(" ", MARK)
-            units += [known.get(u) or self.unit(u, n) for u in self.units.findall(part if k else MARK + part)]
-        score = sum(u[0][0] for u in units)
-        beam: list[tuple[float, tuple | None]] = [(0.0, None)]  # how much worse than the best, and (beam entry before, unit, choice)
+            cut = self.units.findall(part if k else MARK + part)
+            names += cut
+            units += [get(u) or self.unit(u) for u in cut]
+        score = sum(u[0] for u in units)
+        beam: list[tuple[float, tuple | None]] = [(0.0, None)]  # how much worse than the best, and (entry before, unit, ids)
         if n > 1:
+            bound = math.inf
             for k, u in enumerate(units):
-                if len(u) > 1 and (len(beam) < n or u[0][0] - u[1][0] < beam[-1][0]):
-                    top = u[0][0]
-                    more = [(lost + top - s, (back, k, c)) for lost, back in beam for c, (s, _) in enumerate(u) if c]
+                if u[2] < bound:
+                    more = [(lost + u[0] - s, (back, k, ids)) for s, ids in self.search(names[k], n) if ids != u[1] for lost, back in beam]
                     beam = heapq.nsmallest(n, [*beam, *more], key=lambda x: x[0])
+                    bound = beam[-1][0] if len(beam) == n else math.inf
         out = []
         for lost, back in beam:
             chosen = {}
             while back:
-                back, k, c = back
-                chosen[k] = c
-            ids: list[int] = []
-            for k, u in enumerate(units):
-                ids += u[chosen.get(k, 0)][1]
+                back, k, ids = back
+                chosen[k] = ids
+            ids = []
+            if chosen:
+                for k, u in enumerate(units):
+                    ids += chosen.get(k) or u[1]
+            else:
+                for u in units:
+                    ids += u[1]
             out.append((score - lost, ids))
         return out
 
