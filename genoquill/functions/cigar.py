@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OPS = re.compile(r"(\d+)([MXID=])")
 
@@ -90,7 +91,7 @@ def is_snp(text: str) -> bool:
     return items == [(1, "X")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def cigar(ref: pd.Series, alt: pd.Series) -> pd.Series:
     known: dict[tuple[str, str], str] = {}
     out = []

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: IUPAC letters and the nucleotides that they stand for; fixed values.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
@@ -172,7 +173,7 @@ def infix_distance(a: str, b: str) -> int:
     return int(row.min())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def local_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else infix_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
@@ -188,7 +189,7 @@ def lz76(text: str) -> int:
     return count
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lempel_ziv(a: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else lz76(x) for x in a], dtype="Int64")
 

@@ -1,0 +1,198 @@
+"""Queries over the ontology relations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ontology as G
+from .fixtures import ctes, frame
+from .registry import query
+
+#: Closure, depth and information content for the oracle.
+BASE = (
+    ctes("term_edges", "annotations")
+    + """, walk(term, ancestor, distance) AS (SELECT t, t, 0 FROM (SELECT child AS t FROM term_edges UNION SELECT parent FROM term_edges)
+  UNION SELECT w.term, e.parent, w.distance + 1 FROM walk w JOIN term_edges e ON e.child = w.ancestor),
+paths(term, ancestor, distance) AS (SELECT t, t, 0 FROM (SELECT child AS t FROM term_edges UNION SELECT parent FROM term_edges)
+  UNION ALL SELECT w.term, e.parent, w.distance + 1 FROM paths w JOIN term_edges e ON e.child = w.ancestor),
+closure AS (SELECT term, ancestor, min(distance) AS distance FROM walk GROUP BY 1, 2),
+depth AS (SELECT term, min(distance) AS depth FROM closure WHERE ancestor = 'ROOT' GROUP BY 1),
+tot AS (SELECT ancestor AS term, count(*) AS n FROM closure JOIN annotations USING (term) GROUP BY 1),
+ic AS (SELECT term, -ln(n::DOUBLE / (SELECT n FROM tot WHERE term = 'ROOT')) AS ic FROM tot),
+pairs AS (SELECT a.term AS a, b.term AS b FROM (SELECT DISTINCT term FROM annotations) a JOIN (SELECT DISTINCT term FROM annotations) b ON a.term <= b.term),
+shared AS (SELECT a, b, x.ancestor FROM pairs JOIN closure x ON x.term = a JOIN closure y ON y.term = b AND y.ancestor = x.ancestor),
+mica AS (SELECT a, b, greatest(max(ic), 0) AS mica FROM shared JOIN ic ON ic.term = ancestor GROUP BY 1, 2),
+s AS (SELECT m.*, x.ic AS xa, y.ic AS xb, (SELECT max(ic) FROM ic) AS top FROM mica m LEFT JOIN ic x ON x.term = a LEFT JOIN ic y ON y.term = b)"""
+)
+
+
+def _data(spark, d):
+    e, a = frame(spark, d, "term_edges"), frame(spark, d, "annotations")
+    c = G.closure(e)
+    t = a.select("term").distinct()
+    pairs = t.select(F.col("term").alias("a")).join(t.select(F.col("term").alias("b")), F.col("a") <= F.col("b"))
+    return e, a, c, G.information_content(c, a, e), pairs
+
+
+@query(f"{BASE} SELECT * FROM closure")
+def ancestor_closure(spark, d):
+    return G.closure(frame(spark, d, "term_edges"))
+
+
+@query(f"{BASE} SELECT ancestor, count(*) AS descendants, max(distance) AS farthest FROM closure WHERE distance > 0 GROUP BY 1")
+def descendant_counts(spark, d):
+    return G.strict(G.closure(frame(spark, d, "term_edges"))).groupBy("ancestor").agg(F.count("*").alias("descendants"), F.max("distance").alias("farthest"))
+
+
+@query(f"{BASE} SELECT * FROM depth")
+def term_depth(spark, d):
+    e = frame(spark, d, "term_edges")
+    return G.depth(e, G.closure(e))
+
+
+@query(f"{BASE} SELECT DISTINCT child AS term, 'leaf' AS kind FROM term_edges WHERE child NOT IN (SELECT parent FROM term_edges) UNION ALL SELECT DISTINCT parent, 'root' FROM term_edges WHERE parent NOT IN (SELECT child FROM term_edges)")
+def leaves_and_roots(spark, d):
+    e = frame(spark, d, "term_edges")
+    return G.leaves(e).withColumn("kind", F.lit("leaf")).union(G.roots(e).withColumn("kind", F.lit("root")))
+
+
+@query(f"{BASE} SELECT child, parent FROM term_edges WHERE child IN (SELECT ancestor FROM closure WHERE term = 'S7') AND parent IN (SELECT ancestor FROM closure WHERE term = 'S7')")
+def induced_subgraph(spark, d):
+    e = frame(spark, d, "term_edges")
+    return G.induced(e, G.closure(e), "S7").select("child", "parent")
+
+
+@query(f"{BASE} SELECT count(DISTINCT term) AS terms, 1::BIGINT AS components FROM closure")
+def graph_components(spark, d):
+    t = G.components(frame(spark, d, "term_edges"))
+    return t.agg(F.count("*").alias("terms"), F.countDistinct("component").alias("components"))
+
+
+@query(f"{BASE} SELECT term, round(ic, 9) + 0.0 AS ic FROM ic")
+def information_content(spark, d):
+    return _data(spark, d)[3].select("term", (F.round("ic", 9) + 0.0).alias("ic"))
+
+
+@query(f"{BASE}, t2 AS (SELECT ancestor AS term, count(*) AS n FROM paths JOIN annotations USING (term) GROUP BY 1) SELECT term, round(-ln(n::DOUBLE / (SELECT n FROM t2 WHERE term = 'ROOT')), 9) + 0.0 AS ic FROM t2")
+def information_content_paths(spark, d):
+    e, a = frame(spark, d, "term_edges"), frame(spark, d, "annotations")
+    return G.information_content_paths(e, a).select("term", (F.round("ic", 9) + 0.0).alias("ic"))
+
+
+@query(f"{BASE} SELECT a, b, round(mica, 9) + 0.0 AS mica FROM mica")
+def mica(spark, d):
+    _, _, c, ic, p = _data(spark, d)
+    return G.mica(c, ic, p).select("a", "b", (F.round("mica", 9) + 0.0).alias("mica"))
+
+
+@query(f"{BASE} SELECT a, b, round(avg(ic), 9) + 0.0 AS info FROM shared JOIN ic ON ic.term = ancestor GROUP BY 1, 2")
+def ancestor_mean_information(spark, d):
+    _, _, c, ic, p = _data(spark, d)
+    return G.mean_shared(c, ic, p).select("a", "b", (F.round("info", 9) + 0.0).alias("info"))
+
+
+_MEASURES = {
+    "resnik": "CASE WHEN top > 0 THEN mica / top ELSE 0 END",
+    "lin": "CASE WHEN a = b THEN 1 WHEN xa + xb > 0 THEN 2 * mica / (xa + xb) ELSE 0 END",
+    "relevance": "CASE WHEN xa + xb > 0 AND mica > 0 THEN 2 * mica / (xa + xb) * (1 - exp(-mica)) ELSE 0 END",
+    "jiang_conrath": "1 - least((xa + xb - 2 * mica) / top, 1)",
+    "jiang_conrath_alternative": "CASE WHEN a = b THEN 1 ELSE 1 - (xa + xb - 2 * mica) / (2 * top) END",
+}
+
+
+def _measure(name):
+    def run(spark, d):
+        _, _, c, ic, p = _data(spark, d)
+        return G.similarity(c, ic, p, [name]).select("a", "b", (F.round(name, 9) + 0.0).alias(name))
+
+    run.__name__ = f"similarity_{name}"
+    query(f"{BASE} SELECT a, b, round({_MEASURES[name]}, 9) + 0.0 AS {name} FROM s")(run)
+
+
+for _m in _MEASURES:
+    _measure(_m)
+
+_LCA = "lca AS (SELECT a, b, ancestor AS lca, depth FROM (SELECT a, b, ancestor, depth, row_number() OVER (PARTITION BY a, b ORDER BY depth DESC, ancestor) AS k FROM shared JOIN depth ON depth.term = ancestor) WHERE k = 1)"
+
+
+@query(f"{BASE}, {_LCA} SELECT * FROM lca")
+def lowest_common_ancestor(spark, d):
+    e, _, c, _, p = _data(spark, d)
+    return G.lowest_common_ancestor(c, G.depth(e, c), p).select("a", "b", "lca", "depth")
+
+
+@query(f"{BASE}, {_LCA} SELECT a, b, round(coalesce(depth::DOUBLE / nullif(x.distance + y.distance + depth, 0), 0), 9) AS pekar_staab FROM lca JOIN closure x ON x.term = a AND x.ancestor = lca JOIN closure y ON y.term = b AND y.ancestor = lca")
+def pekar_staab(spark, d):
+    e, _, c, _, p = _data(spark, d)
+    return G.pekar_staab(e, c, p).withColumn("pekar_staab", F.round("pekar_staab", 9))
+
+
+#: Term sets of genes a0 to a24, compared in pairs of neighbours.
+_SETS = "sets AS (SELECT DISTINCT gene AS \"set\", term FROM annotations WHERE CAST(substr(gene, 2) AS INT) < 25), xy AS (SELECT concat('a', CAST(i AS VARCHAR)) AS x, concat('a', CAST(j AS VARCHAR)) AS y FROM range(25) p(i), range(25) q(j) WHERE i < j AND j <= i + 6 AND concat('a', CAST(i AS VARCHAR)) IN (SELECT \"set\" FROM sets) AND concat('a', CAST(j AS VARCHAR)) IN (SELECT \"set\" FROM sets))"
+
+
+def _sets(spark, a):
+    s = a.where("CAST(substr(gene, 2) AS INT) < 25").select(F.col("gene").alias("set"), "term").distinct()
+    n = spark.range(25).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("x"), F.explode(F.sequence(F.col("id") + 1, F.least(F.col("id") + 6, F.lit(24).cast("long")))).alias("j")).where("j > CAST(substr(x, 2) AS INT)")
+    xy = n.select("x", F.concat(F.lit("a"), F.col("j").cast("string")).alias("y"))
+    k = s.select(F.col("set")).distinct()
+    return s, xy.join(k.withColumnRenamed("set", "x"), "x", "left_semi").join(k.withColumnRenamed("set", "y"), "y", "left_semi")
+
+
+@query(f"""{BASE}, {_SETS}, lin AS (SELECT a, b, {_MEASURES['lin']} AS v FROM s UNION SELECT b, a, {_MEASURES['lin']} FROM s), t AS (SELECT x, y, p.term AS a, q.term AS b, coalesce(v, 0) AS v FROM xy JOIN sets p ON p."set" = x JOIN sets q ON q."set" = y LEFT JOIN lin ON lin.a = p.term AND lin.b = q.term),
+r AS (SELECT x, y, avg(m) AS av, sum(m) AS sm, count(*) AS n FROM (SELECT x, y, a, max(v) AS m FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2), c AS (SELECT x, y, avg(m) AS av, sum(m) AS sm, count(*) AS n FROM (SELECT x, y, b, max(v) AS m FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2), o AS (SELECT x, y, avg(v) AS pa, max(v) AS pm FROM t GROUP BY 1, 2)
+SELECT x, y, round(pa, 9) AS pair_average, round(pm, 9) AS pair_maximum, round((r.av + c.av) / 2, 9) AS best_match_average, round((r.sm + c.sm) / (r.n + c.n), 9) AS average_best_match FROM o JOIN r USING (x, y) JOIN c USING (x, y)""")
+def set_similarity_lin(spark, d):
+    _, a, c, ic, p = _data(spark, d)
+    s, xy = _sets(spark, a)
+    t = G.set_similarity(s, xy, G.similarity(c, ic, p, ["lin"]), "lin")
+    return t.select("x", "y", *[F.round(k, 9).alias(k) for k in t.columns[2:]])
+
+
+@query(f"""{BASE}, {_SETS}, up AS (SELECT DISTINCT "set", ancestor AS term FROM sets JOIN closure USING (term)), w AS (SELECT up.*, coalesce(ic, 0) AS ic FROM up LEFT JOIN ic USING (term)),
+z AS (SELECT "set", count(*) AS n, sum(ic) AS i FROM w GROUP BY 1), zt AS (SELECT "set", count(*) AS n FROM sets GROUP BY 1), o AS (SELECT x, y, count(*) AS n, sum(p.ic) AS i FROM xy JOIN w p ON p."set" = x JOIN w q ON q."set" = y AND q.term = p.term GROUP BY 1, 2), ot AS (SELECT x, y, count(*) AS n FROM xy JOIN sets p ON p."set" = x JOIN sets q ON q."set" = y AND q.term = p.term GROUP BY 1, 2)
+SELECT x, y, round(coalesce(ot.n, 0)::DOUBLE / (ta.n + tb.n - coalesce(ot.n, 0)), 9) AS jaccard, round(coalesce(o.n, 0)::DOUBLE / (a.n + b.n - coalesce(o.n, 0)), 9) AS ui, round(coalesce(o.i, 0) / (a.i + b.i - coalesce(o.i, 0)), 9) AS gic, round(2 * coalesce(o.i, 0) / (a.i + b.i), 9) AS dic, round(coalesce(o.i, 0) / greatest(a.i, b.i), 9) AS uic
+FROM xy JOIN z a ON a."set" = x JOIN z b ON b."set" = y JOIN zt ta ON ta."set" = x JOIN zt tb ON tb."set" = y LEFT JOIN o USING (x, y) LEFT JOIN ot USING (x, y)""")
+def set_similarity_graph(spark, d):
+    _, a, c, ic, _ = _data(spark, d)
+    s, xy = _sets(spark, a)
+    t = G.graph_similarity(s, xy, c, ic)
+    return t.select("x", "y", *[F.round(k, 9).alias(k) for k in t.columns[2:]])
+
+
+@query(f"""{BASE}, g AS (SELECT DISTINCT gene, term FROM annotations), att AS (SELECT DISTINCT gene, ancestor AS term FROM g JOIN closure USING (term)), smp AS (SELECT DISTINCT gene FROM g WHERE CAST(substr(gene, 2) AS INT) % 5 = 0),
+k AS (SELECT term, count(*) AS KK, count(CASE WHEN gene IN (SELECT gene FROM smp) THEN 1 END) AS k, (SELECT count(DISTINCT gene) FROM g) AS NN, (SELECT count(*) FROM smp) AS n FROM att GROUP BY 1),
+p AS (SELECT term, KK, k, sum(exp(lgamma(KK + 1) - lgamma(i + 1) - lgamma(KK - i + 1) + lgamma(NN - KK + 1) - lgamma(n - i + 1) - lgamma(NN - KK - n + i + 1) - lgamma(NN + 1) + lgamma(n + 1) + lgamma(NN - n + 1))) AS p
+  FROM k LEFT JOIN range(0, 201) r(i) ON i >= greatest(k, greatest(0, n + KK - NN) + 1) AND i <= least(n, KK) GROUP BY term, KK, k) SELECT term, KK AS population, k AS shared, round(CASE WHEN k = 0 THEN 1 ELSE coalesce(p, 0) END, 7) AS p FROM p""")
+def enrichment_p(spark, d):
+    e, a = frame(spark, d, "term_edges"), frame(spark, d, "annotations")
+    t = G.enrichment(G.closure(e), a, a.where("CAST(substr(gene, 2) AS INT) % 5 = 0"))
+    return t.withColumn("p", F.round("p", 7))
+
+
+@query(None)
+def disjoint_common_information(spark, d):
+    e, _, c, ic, p = _data(spark, d)
+    return G.disjoint_common(e, c, ic, p)
+
+
+@query(None)
+def frontier_information(spark, d):
+    e, _, c, ic, p = _data(spark, d)
+    return G.frontier(e, c, ic, p)
+
+
+@query(None)
+def exclusive_inherited_information(spark, d):
+    e, _, c, ic, p = _data(spark, d)
+    return G.exclusive_inherited(e, c, ic, p)
+
+
+@query(f"{BASE} SELECT gene, count(DISTINCT term) AS terms FROM annotations GROUP BY 1")
+def terms_per_gene(spark, d):
+    return G.annotation_counts(frame(spark, d, "annotations"))[0]
+
+
+@query(f"{BASE} SELECT term, count(DISTINCT gene) AS genes FROM annotations GROUP BY 1")
+def genes_per_term(spark, d):
+    return G.annotation_counts(frame(spark, d, "annotations"))[1]
