@@ -1,8 +1,9 @@
 """Quality rules under weak supervision, in DataFrame functions only.
 
-Eight rules look at counts of a text and vote good (1) or bad (-1) or abstain (0). Expectation-maximisation estimates
-how each rule votes given the hidden quality, from the counts of the vote patterns (at most 3^8 = 6,561 rows, whatever
-the input); the posterior probability of good quality then replaces a filter that all rules must pass.
+Seven rules look at counts of a text and vote good (1) or bad (-1) or abstain (0); rules for one defect only vote bad, as
+the lack of a defect is no merit. Expectation-maximisation estimates how each rule votes given the hidden quality, from
+the counts of the vote patterns (at most 3^7 = 2,187 rows, whatever the input). The posterior
+probability of good quality then replaces a filter that all rules must pass.
 """
 
 from __future__ import annotations
@@ -15,26 +16,27 @@ from pyspark.sql import functions as F
 from .common import BLANKS, let, materialize, words_of
 
 WINDOW = 5
-#: Weight of the belief, per class, that a rule that votes does so rightly 4 times of 5, as a share of the rows.
-PRIOR_SHARE, RIGHT, ROUNDS = 0.02, 0.8, 60
+#: The share of good documents, which is given and not estimated: documents that no rule flags stay at it, so that estimates
+#: would drift. How often bad and good votes are believed to be right beforehand, with the weight of PRIOR_SHARE of the rows.
+GOOD, RIGHT, PRIOR_SHARE, ROUNDS = 0.8, {-1: 0.95, 1: 0.85}, 0.001, 60
 
 
 def _votes() -> dict[str, Column]:
     c = F.col
     n = F.greatest(c("n_words"), F.lit(1))
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        out = F.when(bad, -1)
+        return (out if good is None else out.when(good, 1)).otherwise(0)
 
     return {
         "v_length": vote(c("n_words") < 10, c("n_words") >= 50),
-        "v_symbols": vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
-        "v_repeats": vote(10 * c("n_repeat_words") > n, 100 * c("n_repeat_words") <= n),
-        "v_lines": vote(10 * c("n_dup_lines") > 3 * c("n_lines"), (c("n_dup_lines") == 0) & (c("n_lines") >= 2)),
+        "v_symbols": vote(10 * c("n_symbols") > n),
+        "v_repeats": vote(5 * c("n_repeat_words") > n),
+        "v_lines": vote((10 * c("n_dup_lines") > 3 * c("n_lines")) & (c("n_dup_lines") > 1)),
         "v_word_length": vote((c("word_chars") < 2 * n) | (c("word_chars") > 15 * n), c("word_chars").between(3 * n, 12 * n)),
-        "v_capitals": vote(10 * c("n_capitals") > 3 * c("word_chars"), 10 * c("n_capitals") <= c("word_chars")),
-        "v_exclaim": vote(10 * c("n_exclaim") > n, 50 * c("n_exclaim") <= n),
-        "v_stops": vote((c("n_words") >= 10) & (50 * c("n_stops") < n), 40 * c("n_stops") >= n),
+        "v_shouting": vote((10 * c("n_capitals") > 3 * c("word_chars")) | (10 * c("n_exclaim") > n)),
+        "v_stops": vote((c("n_words") >= 50) & (50 * c("n_stops") < n), 40 * c("n_stops") >= n),
     }
 
 
@@ -67,34 +69,42 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         count(F.size("_l")).alias("n_lines"),
         count(F.regexp_count("_t", F.lit("[A-ZÀ-ÖØ-Þ]"))).alias("n_capitals"),
         count(F.regexp_count("_t", F.lit("!"))).alias("n_exclaim"),
-        count(F.regexp_count("_t", F.lit(r"(?<![^\x20\x09-\x0D])(?:the|of|and|to|in|is|de|la|le|et|les|des|un|une|der|die|und|das|den|ein|von|zu|el|los|que|en|por|para|con|y|a)(?=[\x20\x09-\x0D.,])"))).alias("n_stops"),
+        count(F.regexp_count("_t", F.lit(r"(?i)(?<![^\x20\x09-\x0D])(?:the|of|and|to|in|is|de|la|le|et|les|des|un|une|der|die|und|das|den|ein|von|zu|el|los|que|en|por|para|con|y|a)(?=[\x20\x09-\x0D.,])"))).alias("n_stops"),
     )
 
 
+def _logit(x: float) -> float:
+    return math.log(x / (1 - x))
+
+
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over (votes, count) patterns: prior log-odds of good, and per rule the log-odds that each vote adds.
 
-    Every rule has, per class, probabilities of the votes -1, 0 and 1 with a Dirichlet prior that says that votes are
-    mostly right, so that the classes keep their meaning. No patterns, or a rule that always abstains, add nothing.
+    A rule has one accuracy for its bad and one for its good votes: the mean posterior of what the vote says over the
+    documents that get it. By Bayes a vote adds the log-odds of its accuracy less those of the class, and nothing if it is no
+    better than chance; whether a rule abstains doesn't depend on the class, so abstaining adds nothing. Beliefs of a weight of
+    PRIOR_SHARE of the rows keep the accuracies inside (0, 1). Without patterns nothing is added.
     """
     if not patterns:
         return 0.0, []
     m, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    weight = max(1.0, PRIOR_SHARE * total)
-    belief = [{-1: RIGHT / 2, 0: 0.5, 1: (1 - RIGHT) / 2}, {-1: (1 - RIGHT) / 2, 0: 0.5, 1: RIGHT / 2}]
-    p_good, p = 0.8, [[dict(belief[y]) for y in (0, 1)] for _ in range(m)]
+    few = max(1.0, PRIOR_SHARE * total)
+    good, right = GOOD, [dict(RIGHT) for _ in range(m)]
+
+    def added() -> list[dict[int, float]]:
+        return [{-1: -max(0.0, _logit(r[-1]) - _logit(1 - good)), 0: 0.0, 1: max(0.0, _logit(r[1]) - _logit(good))} for r in right]
+
     for _ in range(rounds):
-        mass, got = [0.0, 0.0], [[{-1: 0.0, 0: 0.0, 1: 0.0} for _ in (0, 1)] for _ in range(m)]
+        w, said, true = added(), [{-1: 0.0, 1: 0.0} for _ in range(m)], [{-1: 0.0, 1: 0.0} for _ in range(m)]
         for votes, n in patterns:
-            odds = math.log(p_good / (1 - p_good)) + sum(math.log(p[j][1][v] / p[j][0][v]) for j, v in enumerate(votes))
-            good = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
-            for y, share in ((0, n * (1 - good)), (1, n * good)):
-                mass[y] += share
-                for j, v in enumerate(votes):
-                    got[j][y][v] += share
-        p_good = (mass[1] + 0.8 * weight) / (total + weight)
-        p = [[{v: (got[j][y][v] + weight * belief[y][v]) / (mass[y] + weight) for v in (-1, 0, 1)} for y in (0, 1)] for j in range(m)]
-    return math.log(p_good / (1 - p_good)), [{v: math.log(p[j][1][v] / p[j][0][v]) for v in (-1, 0, 1)} for j in range(m)]
+            odds = _logit(good) + sum(w[j][v] for j, v in enumerate(votes))
+            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+            for j, v in enumerate(votes):
+                if v:
+                    said[j][v] += n
+                    true[j][v] += n * (p if v > 0 else 1 - p)
+        right = [{v: (true[j][v] + few * RIGHT[v]) / (said[j][v] + few) for v in (-1, 1)} for j in range(m)]
+    return _logit(good), added()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -106,7 +116,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     rules = _votes()
     own = materialize(features(docs, id_col, text_col), "features")
     voted = own.select("*", *[v.alias(k) for k, v in rules.items()])
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*rules).count().collect()]  # 3^8 rows at most
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*rules).count().collect()]  # 3^7 rows at most
     prior, weights = fit_label_model(sorted(patterns))
     odds = F.lit(prior)
     for name, w in zip(rules, weights, strict=False):
