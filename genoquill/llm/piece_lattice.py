@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 REMEMBERED = 300_000
+#: Units of more characters are searched each time that they come.
+LONG = 64
 
 
 def load_vocabulary(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
@@ -47,83 +49,89 @@ class Codec:
         self.unknown = min((s for s in scores if s > -1e8), default=0.0) - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.piece):
             raise ValueError("a piece holds a space mark behind other characters")
-        #: The pieces by their characters; at the empty key a piece's (score, id).
-        self.longest = max(map(len, self.piece), default=1)
-        self.trie: dict = {}
+        #: The pieces by their characters from the last to the first; at the empty key a piece's (score, ids).
+        self.ends: dict = {}
         for p, (i, score) in self.piece.items():
-            node = self.trie
-            for ch in p:
+            node = self.ends
+            for ch in reversed(p):
                 node = node.setdefault(ch, {})
-            node[""] = (score, i)
+            node[""] = (score, (i,))
+        self.longest = max(map(len, self.piece), default=1)
         self.units = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        #: By prefix of a unit: its best and second best score, and the ids of the best.
+        self.prefixes: dict[str, tuple[float, float, tuple[int, ...]]] = {}
 
     def raw_ids(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte[x] for x in char.encode())
 
-    def forward(self, unit: str) -> tuple[float, tuple[int, ...], float]:
-        """Viterbi: score and ids of the best segmentation, and how much worse the second best is.
+    def edges(self, unit: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """(start, score, ids) of the lattice's edges that end at a place, the shortest first; bytes where no piece is the character."""
+        out, node = [], self.ends
+        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+            node = node.get(unit[start])
+            if node is None:
+                break
+            if found := node.get(""):
+                out.append((start, *found))
+        if not out or out[0][0] != end - 1:
+            out.insert(0, (end - 1, self.unknown, self.raw_ids(unit[end - 1])))
+        return out
+
+    def forward(self, unit: str) -> list[tuple[float, float, tuple[int, ...]]]:
+        """Viterbi: for each place the best and second best score up to it, and the ids of the best.
 
-        Of equal scores the one with the smaller ids, compared from the end, is the better one.
+        A place depends on what stands before it only, so places are remembered by prefix: words share their beginnings.
+        Of equal scores the one with the smaller last ids is the better one. Long units aren't remembered.
         """
-        n, low, unknown, longest = len(unit), -math.inf, self.unknown, self.longest
-        best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
-        best[0] = 0.0
-        for start in range(n):
-            here, behind, alone, end, node = best[start], second[start], True, start, self.trie
-            for ch in unit[start : start + longest]:
-                node = node.get(ch)
-                if node is None:
-                    break
-                end += 1
-                found = node.get("")
-                if found is None:
-                    continue
-                score, piece = found
-                if end == start + 1:
-                    alone = False
-                x, old = here + score, best[end]
-                if x > old or x == old and (piece,) < back[end][1]:
-                    y = behind + score
-                    second[end] = old if old > y else y
-                    best[end], back[end] = x, (start, (piece,))
-                elif x > second[end]:
-                    second[end] = x
-            if alone:
-                x, end, ids = here + unknown, start + 1, self.raw_ids(unit[start])
-                if x > best[end] or x == best[end] and ids < back[end][1]:
-                    second[end] = max(best[end], behind + unknown)
-                    best[end], back[end] = x, (start, ids)
-                elif x > second[end]:
-                    second[end] = x
-        out, place = [], n
-        while place:
-            place, ids = back[place]
-            out.append(ids)
-        return best[n], tuple(i for ids in reversed(out) for i in ids), best[n] - second[n]
+        low, known, longest, ends = -math.inf, self.prefixes, self.longest, self.ends
+        out = [(0.0, low, ())]
+        for end in range(1, len(unit) + 1):
+            prefix = unit[:end]
+            state = known.get(prefix)
+            if state is None:
+                best, second, at, last, node = low, low, -1, (), ends
+                for start in range(end - 1, max(-1, end - 1 - longest), -1):
+                    node = node.get(unit[start])
+                    if node is None:
+                        break
+                    found = node.get("")
+                    if found is None:
+                        continue
+                    score, ids = found
+                    before = out[start]
+                    x = before[0] + score
+                    if x > best or x == best and ids < last:
+                        y = before[1] + score
+                        second, best, at, last = best if best > y else y, x, start, ids
+                    elif x > second:
+                        second = x
+                if unit[end - 1] not in ends or "" not in ends[unit[end - 1]]:
+                    before, ids = out[end - 1], self.raw_ids(unit[end - 1])
+                    x = before[0] + self.unknown
+                    if x > best or x == best and ids < last:
+                        y = before[1] + self.unknown
+                        second, best, at, last = best if best > y else y, x, end - 1, ids
+                    elif x > second:
+                        second = x
+                state = known[prefix] = (best, second, out[at][2] + last)
+            out.append(state)
+        return out
+
+    def places(self, unit: str) -> list[float]:
+        """The best score of each prefix of a unit that is too long for forward: in constant memory per place."""
+        out = [0.0]
+        for end in range(1, len(unit) + 1):
+            out.append(max(out[start] + score for start, score, _ in self.edges(unit, end)))
+        return out
 
     def search(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of one unit, best first, by A-star from the end; the best scores of all prefixes are its heuristics.
 
         An entry of the heap links to the one that it extends, so a path costs no copies however long the unit is.
         """
-        size, longest = len(unit), self.longest
-        best, edges = [0.0] + [-math.inf] * size, [[] for _ in range(size + 1)]
-        for start in range(size):
-            alone, end, node = True, start, self.trie
-            for ch in unit[start : start + longest]:
-                node = node.get(ch)
-                if node is None:
-                    break
-                end += 1
-                if found := node.get(""):
-                    alone = alone and end != start + 1
-                    edges[end].append((start, found[0], (found[1],)))
-                    best[end] = max(best[end], best[start] + found[0])
-            if alone:
-                edges[start + 1].append((start, self.unknown, self.raw_ids(unit[start])))
-                best[start + 1] = max(best[start + 1], best[start] + self.unknown)
-        heap, out, count = [(-best[-1], 0, None, size, 0.0)], [], 0
+        places, known = self.places(unit) if len(unit) > LONG else [x[0] for x in self.forward(unit)], {}
+        heap, out, count = [(-places[-1], 0, None, len(unit), 0.0)], [], 0
         while heap and len(out) < n:
             _, _, path, place, behind = heapq.heappop(heap)
             if not place:
@@ -133,18 +141,23 @@ class Codec:
                     ids += part
                 out.append((behind, tuple(ids)))
                 continue
-            for start, score, ids in edges[place]:
+            if (edges := known.get(place)) is None:
+                edges = known[place] = self.edges(unit, place)
+            for start, score, ids in edges:
                 count -= 1  # of equal scores the one reached last, so that a path is followed to its end
-                heapq.heappush(heap, (-(behind + score + best[start]), count, (path, ids), start, behind + score))
+                heapq.heappush(heap, (-(behind + score + places[start]), count, (path, ids), start, behind + score))
         return out
 
     def unit(self, unit: str) -> tuple[float, tuple[int, ...], float]:
         if (found := self.known.get(unit)) is None:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= REMEMBERED or len(self.prefixes) >= 2 * REMEMBERED:
                 self.known.clear()
-            found = self.forward(unit)
-            if len(unit) <= 48:
-                self.known[unit] = found
+                self.prefixes.clear()
+            if len(unit) > LONG:
+                two = self.search(unit, 2)
+                return *two[0], two[0][0] - two[1][0] if len(two) > 1 else math.inf
+            best, second, ids = self.forward(unit)[-1]
+            found = self.known[unit] = best, ids, best - second
         return found
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
@@ -189,9 +202,12 @@ class Codec:
             out.append((score - lost, ids))
         return out
 
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space that encoding puts in front."""
-        data = b"".join(map(self.raw.__getitem__, ids))
+        data = self.bytes_of(ids)
         return data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace")
 
 
@@ -212,13 +228,13 @@ def broadcast_vocabulary(spark: SparkSession, path: str = MODEL):
 
 
 def encode_rows(docs: DataFrame, text_col: str = "text", n: int = 4, path: str = MODEL) -> DataFrame:
-    """docs without text_col, and: ids (best segmentation), score, scores (of the n best, best first), lossless (all n decode to the text), decoded_sha256.
+    """docs without text_col, and: ids (best segmentation), score, scores (of the n best, best first), lossless (all n decode to the text), decoded_sha256, ids_sha256 (of the ids as little-endian 32-bit numbers).
 
-    One row per row of docs. Null counts as empty: no ids, score 0. Columns of docs with the names of these five are
+    One row per row of docs. Null counts as empty: no ids, score 0. Columns of docs with the names of these six are
     replaced, others stay; null and repeated ids and empty tables don't matter.
     """
     key, vocabulary = broadcast_vocabulary(docs.sparkSession, path)
-    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("lossless", T.BooleanType()), T.StructField("decoded_sha256", T.StringType())]
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("lossless", T.BooleanType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("ids_sha256", T.StringType())]
     kept = [f for f in docs.schema if f.name != text_col and f.name not in {a.name for a in added}]
     schema = T.StructType([*kept, *added])
 
@@ -231,11 +247,13 @@ def encode_rows(docs: DataFrame, text_col: str = "text", n: int = 4, path: str =
                 for text in part.column(len(kept)):
                     text = text.as_py() or ""
                     found = codec.encode(text, n)
-                    back = [codec.decode(ids) for _, ids in found]
-                    rows.append((np.array(found[0][1], np.int32), found[0][0], [s for s, _ in found], all(x == text for x in back), hashlib.sha256(back[0].encode()).hexdigest()))
+                    back, best = codec.bytes_of(found[0][1]), np.array(found[0][1], np.int32)
+                    lossless = back == (b" " if text else b"") + text.encode() and all(codec.bytes_of(ids) == back for _, ids in found[1:])
+                    digests = hashlib.sha256(codec.decode(found[0][1]).encode()).hexdigest(), hashlib.sha256(best.astype("<i4").tobytes()).hexdigest()
+                    rows.append((best, found[0][0], [s for s, _ in found], lossless, *digests))
                 sizes = np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([r[0] for r in rows])))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids, pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids, pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows]), pa.array([r[5] for r in rows])], names=schema.names)
 
     return docs.select(*[f.name for f in kept], F.col(text_col).cast("string")).mapInArrow(run, schema)
 

@@ -65,7 +65,7 @@ def test_pieces_are_those_of_the_library():
 def test_frame(spark):
     rows = [(1, "hello world", 5), (None, None, 6), (3, "", 7), (3, "x y" * 4000, 8), (1, "hello world", 5)]
     got = P.encode_rows(spark.createDataFrame(rows, "doc_id long, text string, score int"), n=4)
-    assert got.columns == ["doc_id", "ids", "score", "scores", "lossless", "decoded_sha256"]
+    assert got.columns == ["doc_id", "ids", "score", "scores", "lossless", "decoded_sha256", "ids_sha256"]
     out = got.collect()
     assert len(out) == 5 and all(r.lossless for r in out)
     assert [len(r.ids) for r in out if r.doc_id is None] == [0]
