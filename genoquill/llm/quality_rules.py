@@ -17,8 +17,9 @@ from .common import BLANKS, let, materialize, words_of
 
 WINDOW = 5
 #: The share of good documents, which is given and not estimated: documents that no rule flags stay at it, so that estimates
-#: would drift. How often bad and good votes are believed to be right beforehand, with the weight of PRIOR_SHARE of the rows.
-GOOD, RIGHT, PRIOR_SHARE, ROUNDS = 0.8, {-1: 0.95, 1: 0.85}, 0.001, 60
+#: would drift. Beliefs at the start, with the weight of BELIEF of the rows: how often a flag is right, and the share of good
+#: votes that rules give to bad (0) and to good (1) documents.
+GOOD, FLAG, SAYS, BELIEF, ROUNDS = 0.8, 0.95, {0: 0.6, 1: 0.9}, 0.001, 60
 
 
 def _votes() -> dict[str, Column]:
@@ -80,31 +81,41 @@ def _logit(x: float) -> float:
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over (votes, count) patterns: prior log-odds of good, and per rule the log-odds that each vote adds.
 
-    A rule has one accuracy for its bad and one for its good votes: the mean posterior of what the vote says over the
-    documents that get it. By Bayes a vote adds the log-odds of its accuracy less those of the class, and nothing if it is no
-    better than chance; whether a rule abstains doesn't depend on the class, so abstaining adds nothing. Beliefs of a weight of
-    PRIOR_SHARE of the rows keep the accuracies inside (0, 1). Without patterns nothing is added.
+    Of a rule that votes both ways the shares of its votes are estimated in either class, and a vote adds their log-ratio. A
+    rule that only ever votes bad has one accuracy, the mean posterior of bad over the documents it flags, and its vote adds
+    the log-odds of this less those of the class. A vote never counts against what it says. Whether a rule abstains doesn't
+    depend on the class, so abstaining adds nothing. Beliefs of a weight of BELIEF of the rows keep estimates inside (0, 1).
+    Without patterns nothing is added.
     """
     if not patterns:
         return 0.0, []
-    m, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    few = max(1.0, PRIOR_SHARE * total)
-    good, right = GOOD, [dict(RIGHT) for _ in range(m)]
+    m, few = len(patterns[0][0]), max(1.0, BELIEF * sum(n for _, n in patterns))
+    both = [any(votes[j] > 0 for votes, _ in patterns) for j in range(m)]
+    flag, says = [FLAG] * m, [dict(SAYS) for _ in range(m)]  # accuracy of a flag; share of good votes by class
 
     def added() -> list[dict[int, float]]:
-        return [{-1: -max(0.0, _logit(r[-1]) - _logit(1 - good)), 0: 0.0, 1: max(0.0, _logit(r[1]) - _logit(good))} for r in right]
+        out = []
+        for j in range(m):
+            if both[j]:
+                good, bad = says[j][1], says[j][0]
+                out.append({-1: min(0.0, math.log((1 - good) / (1 - bad))), 0: 0.0, 1: max(0.0, math.log(good / bad))})
+            else:
+                out.append({-1: -max(0.0, _logit(flag[j]) + _logit(GOOD)), 0: 0.0, 1: 0.0})
+        return out
 
     for _ in range(rounds):
-        w, said, true = added(), [{-1: 0.0, 1: 0.0} for _ in range(m)], [{-1: 0.0, 1: 0.0} for _ in range(m)]
+        w, n_by, true = added(), [[0.0, 0.0] for _ in range(m)], [[0.0, 0.0] for _ in range(m)]
         for votes, n in patterns:
-            odds = _logit(good) + sum(w[j][v] for j, v in enumerate(votes))
+            odds = _logit(GOOD) + sum(w[j][v] for j, v in enumerate(votes))
             p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
             for j, v in enumerate(votes):
                 if v:
-                    said[j][v] += n
-                    true[j][v] += n * (p if v > 0 else 1 - p)
-        right = [{v: (true[j][v] + few * RIGHT[v]) / (said[j][v] + few) for v in (-1, 1)} for j in range(m)]
-    return _logit(good), added()
+                    for y, share in ((0, n * (1 - p)), (1, n * p)):
+                        n_by[j][y] += share
+                        true[j][y] += share * (v > 0)
+        flag = [(n_by[j][0] + few * FLAG) / (sum(n_by[j]) + few) for j in range(m)]
+        says = [{y: (true[j][y] + few * SAYS[y]) / (n_by[j][y] + few) for y in (0, 1)} for j in range(m)]
+    return _logit(GOOD), added()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
