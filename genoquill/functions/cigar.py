@@ -22,8 +22,6 @@ def edit_path(ref: str, alt: str) -> str:
             cost[i, j] = min(cost[i - 1, j - 1] + (ref[i - 1] != alt[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
     out, i, j = [], n, m
     while i or j:
-        if i and j and n - i < 0:
-            break
         if i > j and i and cost[i, j] == cost[i - 1, j] + 1:
             out.append("D")
             i -= 1
