@@ -52,7 +52,7 @@ def visible_text(html: str) -> str:
             end, skip = low.find(">", tag), 1
         if end < 0:
             return " ".join(out)
-        at = end + skip if skip else end + 2
+        at = end + skip
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -177,7 +177,8 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     hosts = materialize(total(own, ["host", "domain", "suffix"], lambda i: F.col("post")[i]), "hosts")
     domains = total(hosts, ["domain", "suffix"], lambda i: F.col("n")[i])
     suffixes = total(hosts, ["suffix"], lambda i: F.col("n")[i])
-    everything = total(hosts, [], lambda i: F.col("n")[i]).first()[0] or [0.0] * k
+    everything = total(hosts, [], lambda i: F.col("n")[i]).first()[0]
+    everything = [x or 0.0 for x in everything]
     levels = hosts.withColumnRenamed("n", "n3").join(domains.withColumnRenamed("n", "n2"), ["domain", "suffix"]).join(suffixes.withColumnRenamed("n", "n1"), "suffix").select("host", "n1", "n2", "n3")
     joined = own.join(levels, "host")
     without = lambda n: F.zip_with(n, "post", lambda a, b: F.greatest(a - b, F.lit(0.0)))
