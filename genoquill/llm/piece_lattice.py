@@ -160,11 +160,12 @@ class Codec:
             found = self.known[unit] = best, ids, best - second
         return found
 
-    def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
+    def encode(self, text: str, n: int = 1, every: bool = True) -> list[tuple[float, list[int] | None]]:
         """The n best (score, ids) of a text, best first; fewer if it has fewer. An empty text has one, without pieces.
 
-        A unit's second best score tells whether any of its other segmentations can be among the n best of the text;
-        only then is it searched.
+        Swapping one unit for its second best costs that unit's gap. The n - 1 smallest gaps give n - 1 segmentations beside
+        the best one, so a unit of a larger gap can't be changed in any of the n best, and only the others are searched. Each
+        alternative must decode as what it stands for. Unless every, ids are given for the best one only.
         """
         if not text:
             return [(0.0, [])]
@@ -177,28 +178,34 @@ class Codec:
             cut = self.units.findall(part if k else MARK + part)
             names += cut
             units += [get(u) or self.unit(u) for u in cut]
-        score = sum(u[0] for u in units)
+        score = sum([u[0] for u in units])
         beam: list[tuple[float, tuple | None]] = [(0.0, None)]  # how much worse than the best, and (entry before, unit, ids)
         if n > 1:
-            bound = math.inf
+            least = heapq.nsmallest(n - 1, [u[2] for u in units])
+            bound = least[-1] if len(least) == n - 1 else math.inf
             for k, u in enumerate(units):
-                if u[2] < bound:
-                    more = [(lost + u[0] - s, (back, k, ids)) for s, ids in self.search(names[k], n) if ids != u[1] for lost, back in beam]
+                if u[2] <= bound and u[2] < math.inf and (len(beam) < n or u[2] < beam[-1][0]):
+                    same, more = self.bytes_of(u[1]), []
+                    for s, ids in self.search(names[k], n):
+                        if ids != u[1]:
+                            if self.bytes_of(ids) != same:
+                                raise ValueError("an alternative decodes to another text")
+                            more += [(lost + u[0] - s, (back, k, ids)) for lost, back in beam]
                     beam = heapq.nsmallest(n, [*beam, *more], key=lambda x: x[0])
-                    bound = beam[-1][0] if len(beam) == n else math.inf
         out = []
         for lost, back in beam:
-            chosen = {}
-            while back:
-                back, k, ids = back
-                chosen[k] = ids
-            ids = []
-            if chosen:
-                for k, u in enumerate(units):
-                    ids += chosen.get(k) or u[1]
-            else:
-                for u in units:
-                    ids += u[1]
+            ids: list[int] | None = None
+            if every or back is None:
+                chosen, ids = {}, []
+                while back:
+                    back, k, part = back
+                    chosen[k] = part
+                if chosen:
+                    for k, u in enumerate(units):
+                        ids += chosen.get(k) or u[1]
+                else:
+                    for u in units:
+                        ids += u[1]
             out.append((score - lost, ids))
         return out
 
@@ -246,10 +253,10 @@ def encode_rows(docs: DataFrame, text_col: str = "text", n: int = 4, path: str =
                 rows = []
                 for text in part.column(len(kept)):
                     text = text.as_py() or ""
-                    found = codec.encode(text, n)
+                    found, raw = codec.encode(text, n, every=False), text.encode()
                     back, best = codec.bytes_of(found[0][1]), np.array(found[0][1], np.int32)
-                    lossless = back == (b" " if text else b"") + text.encode() and all(codec.bytes_of(ids) == back for _, ids in found[1:])
-                    digests = hashlib.sha256(codec.decode(found[0][1]).encode()).hexdigest(), hashlib.sha256(best.astype("<i4").tobytes()).hexdigest()
+                    lossless = back == (b" " if text else b"") + raw  # encode has held the others against it
+                    digests = hashlib.sha256(raw if lossless else codec.decode(found[0][1]).encode()).hexdigest(), hashlib.sha256(best.astype("<i4").tobytes()).hexdigest()
                     rows.append((best, found[0][0], [s for s, _ in found], lossless, *digests))
                 sizes = np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([r[0] for r in rows])))
