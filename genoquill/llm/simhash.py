@@ -129,6 +129,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: different, so that no two bands share two blocks. WIDE_DISTANCE goes with a Jaccard similarity of 0.8: shingle sets of
 #: that similarity have a cosine of 0.89, and bits differ with probability acos(0.89) / pi, 38.7 of 256 on average.
 WIDE, WIDE_DISTANCE = 4, 46
+#: Size of the bitmap by which bands that no large bucket has are left out before they are shuffled.
+FILTER_BITS = 1 << 23
 BANDS = [tuple((i + step) % 32 for step in steps) for steps in ((0, 1, 3), (0, 4, 9), (0, 6, 14), (0, 7, 17)) for i in range(32)]
 
 
@@ -187,23 +189,36 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = materialize(own.withColumn("row", F.monotonically_increasing_id()), "wide")
     nodes = materialize(own.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.min("row").alias("node")), "nodes")
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.array(BANDS)
-        for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                node, fps = b.column(0).slice(k, 4096), b.column(1).slice(k, 4096)
-                raw = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, 8 * WIDE).astype(np.int64)
-                key = (np.arange(len(at)) << 24) | (raw[:, at[:, 0]] << 16) | (raw[:, at[:, 1]] << 8) | raw[:, at[:, 2]]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel(), pa.int64()), pa.array(np.repeat(node.to_numpy(), len(at)), pa.int64())], names=["key", "node"])
-
-    keyed = nodes.select("node", "fp").mapInArrow(bands, "key long, node long")
+    def bands(seen: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = np.array(BANDS)
+            for b in batches:
+                for k in range(0, b.num_rows, 4096):
+                    node, fps = b.column(0).slice(k, 4096), b.column(1).slice(k, 4096)
+                    raw = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, 8 * WIDE).astype(np.int64)
+                    key = ((np.arange(len(at)) << 24) | (raw[:, at[:, 0]] << 16) | (raw[:, at[:, 1]] << 8) | raw[:, at[:, 2]]).ravel()
+                    node = np.repeat(node.to_numpy(), len(at))
+                    if seen is not None:
+                        h = (key * 2654435761 >> 20) & (FILTER_BITS - 1)
+                        hit = (seen[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                        key, node = key[hit], node[hit]
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
+
+        return run
+
+    keyed = nodes.select("node", "fp").mapInArrow(bands(None), "key long, node long")
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "buckets")
     word = lambda c: [F.conv(F.hex(F.substring(c, 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(WIDE)]
     with_bits = nodes.select("node", *[w.alias(f"w{k}") for k, w in enumerate(word(F.col("fp")))])
     side = lambda name: with_bits.select(F.col("node").alias(name), *[F.col(f"w{k}").alias(f"{name}{k}") for k in range(WIDE)])
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     twos = buckets.where("n = 2").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(apart <= distance).select("a", "b")
-    members = keyed.join(buckets.where("n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "key").join(with_bits, "node")
+    large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    h = F.shiftright(F.col("key") * 2654435761, 20).bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = large.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()  # FILTER_BITS / 64 rows at the utmost
+    seen = np.zeros(FILTER_BITS // 64, np.uint64)
+    seen[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    members = nodes.select("node", "fp").mapInArrow(bands(seen), "key long, node long").join(large, "key").join(with_bits, "node")
     home = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiled = members.select("key", F.struct("node", *[f"w{k}" for k in range(WIDE)]).alias("m"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     tiles = tiled.groupBy("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j")).agg(F.collect_set("m").alias("m"))
