@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from genoquill.llm import line_dedup, mixing, piece_lattice, quality_classifier, simhash
 from genoquill.llm.common import materialize, table
 
-#: Near-duplicates share 0.8 of their shingles of five words or more; see simhash.WIDE_DISTANCE.
+#: Near-duplicates share 0.8 of their shingles of five words or more; see simhash.SIMILARITY.
 SHINGLE = 5
 MOST_REPEATS = 2.0
 #: A document that keeps a smaller share of its characters has its lines in others already, and goes.

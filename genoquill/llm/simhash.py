@@ -10,6 +10,7 @@ all its pairs, and none meets in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,25 +28,33 @@ WIDTH, SEED, BITS = 4, 42, 64
 TILE = 1024
 
 
-def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
-    """Signed 64-bit fingerprint of UTF-8 text: A-Z lowered, shingles of width words; 0 without words."""
+def _hashes(raw: bytes, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """XXH64 hashes of the shingles of UTF-8 text in their order: A-Z lowered, width words; none without words."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text, n, digest = b" ".join(words), len(words), xxhash.xxh64_intdigest
     if n <= width:
-        hashes = [digest(text, seed)]
-    else:
-        gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-        starts, ends = [0, *(gaps[: n - width] + 1).tolist()], [*gaps[width - 1 :].tolist(), len(text)]
-        hashes = [digest(text[i:j], seed) for i, j in zip(starts, ends, strict=True)]
+        return np.array([digest(text, seed)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    starts, ends = [0, *(gaps[: n - width] + 1).tolist()], [*gaps[width - 1 :].tolist(), len(text)]
+    return np.array([digest(text[i:j], seed) for i, j in zip(starts, ends, strict=True)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Each bit the majority of that bit over hashes, as a signed number; 0 without hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype=np.uint64).astype(">u8")
+        part = hashes[at : at + (1 << 16)].astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
+    """Signed 64-bit fingerprint of UTF-8 text: A-Z lowered, shingles of width words; 0 without words."""
+    return _majority(_hashes(raw, width, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(id_col, fp): one row per row of docs; null text counts as empty."""
     kept = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("raw"))
@@ -125,127 +134,199 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(by_fp, "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 256 bits in 32 blocks of one byte. A band is three blocks; the steps between its blocks are all
-#: different, so that no two bands share two blocks. WIDE_DISTANCE goes with a Jaccard similarity of 0.8: shingle sets of
-#: that similarity have a cosine of 0.89, and bits differ with probability acos(0.89) / pi, 38.7 of 256 on average.
-WIDE, WIDE_DISTANCE = 4, 46
-#: Size of the bitmap by which bands that no large bucket has are left out before they are shuffled.
+#: Near-duplicates share SIMILARITY of their distinct shingles (Jaccard). Two texts count as candidates if they share
+#: COMMON shingles of their prefixes, or if their fingerprints differ in NEAR bits at most.
+SIMILARITY, COMMON, NEAR = 0.8, 4, 4
+#: Size of the bitmaps by which what no other side has is left out before it is shuffled.
 FILTER_BITS = 1 << 23
-BANDS = [tuple((i + step) % 32 for step in steps) for steps in ((0, 1, 3), (0, 4, 9), (0, 6, 14), (0, 7, 17)) for i in range(32)]
+#: Shingles that stand in OFTEN or more of a sample of documents come last in prefixes; MOST_OFTEN of them at the utmost.
+OFTEN, MOST_OFTEN, SAMPLE, LEAST_SAMPLE = 3, 1_000_000, 1 / 16, 5000
 
 
-def wide_fingerprint(raw: bytes, width: int = 5, seed: int = SEED) -> bytes:
-    """32 bytes, each bit the majority over remixed shingle hashes; zeros without words."""
-    words = raw.lower().split()
-    if not words:
-        return bytes(8 * WIDE)
-    text, n, digest = b" ".join(words), len(words), xxhash.xxh64_intdigest
-    if n <= width:
-        hashes = [digest(text, seed)]
-    else:
-        gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-        starts, ends = [0, *(gaps[: n - width] + 1).tolist()], [*gaps[width - 1 :].tolist(), len(text)]
-        hashes = [digest(text[i:j], seed) for i, j in zip(starts, ends, strict=True)]
-    ones = np.zeros(64 * WIDE, np.int64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 1 << 14):
-            h = np.array(hashes[at : at + (1 << 14)], dtype=np.uint64)
-            mixed = np.empty((len(h), WIDE), np.uint64)
-            for k in range(WIDE):
-                x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                mixed[:, k] = x ^ (x >> np.uint64(32))
-            ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
-
-
-def _wide_forest(nodes: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (member, smallest member) of the components of nodes whose bits (rows of 4 words) differ by up to distance."""
-    order = np.argsort(nodes)
-    nodes, bits, root = nodes[order], bits[order], np.arange(len(order))
-    for i in range(len(nodes)):
-        near = np.flatnonzero(np.bitwise_count(bits[i:] ^ bits[i]).sum(axis=1) <= distance) + i
-        old = np.unique(root[near])
-        if len(old) > 1:
-            root[np.isin(root, old)] = old[0]
-    linked = root != np.arange(len(nodes))
-    return nodes[linked], nodes[root[linked]]
+def needed_of(n: int, similarity: float) -> int:
+    """Shingles that a text of n must share with another of that similarity, whatever the other's size."""
+    return math.ceil(similarity * n - 1e-9)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """One row per row of docs: id_col, row (a number of its own) and keep, true for the row of each group with the smallest (id, row).
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have that Jaccard similarity."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
-    Groups are the components of pairs of wide fingerprints that agree in a band and differ in at most distance bits. A pair
-    at Jaccard similarity 0.8 shares a band with probability 0.92, at 0.85 with 0.99, at 0.9 with 0.9999; links of others
-    of a group add to that. Buckets larger than a tile are compared tile by tile, each giving a spanning forest.
+
+def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a text's distinct hashes in an order common to all texts, rare ones first.
+
+    Of two texts that share o hashes, the first n - o + k of the one and m - o + k of the other share k or more. o is at
+    least needed_of both; k is COMMON, or all that are needed if those are fewer.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.BinaryType())])
+    least = needed_of(len(own), similarity)
+    seen = np.zeros(len(own), np.int64)
+    if len(often[0]):
+        at = np.minimum(np.searchsorted(often[0], own), len(often[0]) - 1)
+        seen = np.where(often[0][at] == own, often[1][at], 0)
+    return own[np.argsort(seen, kind="stable")][: len(own) - least + min(COMMON, least)]
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the hashed values of column key: FILTER_BITS / 64 rows go to the driver at the utmost."""
+    h = F.pmod(F.shiftright(F.col("key"), 7), F.lit(FILTER_BITS))
+    words = keys.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    seen = np.zeros(FILTER_BITS // 64, np.uint64)
+    seen[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return seen
+
+
+def _hit(seen: np.ndarray, key: np.ndarray) -> np.ndarray:
+    h = (key >> 7) & (FILTER_BITS - 1)
+    return (seen[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) of pairs whose texts have the similarity, by their whole shingle sets; texts: (node, raw)."""
+    mixed = lambda c: F.xxhash64(c)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(mixed("node").alias("key"))
+    seen = pairs.sparkSession.sparkContext.broadcast(_bitmap(ends))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.flatnonzero(_hit(seen.value, b.column(2).to_numpy()))
+            for k in range(0, len(at), 1000):
+                part = b.take(pa.array(at[k : k + 1000]))
+                own = [np.unique(_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width)).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.large_binary()).cast(pa.binary())], names=["node", "own"])
+
+    own = materialize(texts.select("node", "raw", mixed("node").alias("key")).mapInArrow(sets, "node long, own binary"), "sets")
+    both = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+        for b in batches:
+            yield b.select(["a", "b"]).filter(pa.array([similar(hashes(x), hashes(y), similarity) for x, y in zip(b.column("x"), b.column("y"), strict=True)], pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str = "row", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, keep) per row of rows: keep is true for the row of each group with the smallest (id, row). row_col holds distinct numbers.
+
+    Groups are the components of all pairs whose distinct shingles have the Jaccard similarity or more: no such pair is
+    missed and none below it is a link. Texts of equal sets are one node. Candidates come from the pigeonhole blocks of
+    64-bit fingerprints and from an exact prefix-filter join, and each is verified by its whole sets. First each bucket's
+    members are held against its smallest one only, so that groups of copies become components at linear cost; then
+    all pairs of prefix buckets that are still apart, tile by tile.
+    """
+    raw = rows.select(F.col(id_col).alias("id"), F.col(row_col).alias("row"), F.col(text_col).cast("binary").alias("raw"))
+    schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width) for x in b.column(1)], pa.binary())], names=["id", "fp"])
+            got = []
+            for x in b.column(2):
+                h = _hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width)
+                own = np.unique(h)
+                got.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), _majority(h)))
+            digest, size, fp = zip(*got, strict=True) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(fp, pa.int64())], names=schema.names)
+
+    own = materialize(raw.mapInArrow(run, schema), "own")
+    nodes = materialize(own.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.min("row").alias("node"), F.min("size").alias("size"), F.min("fp").alias("fp")), "nodes")
+    n_nodes = nodes.count()
+    texts = materialize(raw.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "raw"), "texts")
+    share = min(1.0, max(SAMPLE, LEAST_SAMPLE / max(n_nodes, 1)))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                h = [np.unique(_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width)) for x in b.column(0).slice(k, 200)]
+                key, n = np.unique(np.concatenate(h), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    sampled = texts.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share * (1 << 20)).select("raw").mapInArrow(shingles, "key long, n long")
+    often = sampled.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(MOST_OFTEN).toArrow()
+    keys = often["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    common = rows.sparkSession.sparkContext.broadcast((keys[order], often["n"].to_numpy()[order]))
+    masks = np.array(block_masks(blocks := blocks_for(n_nodes, NEAR), blocks - NEAR), np.int64)
 
-    own = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, schema)
-    own = materialize(own.withColumn("row", F.monotonically_increasing_id()), "wide")
-    nodes = materialize(own.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.min("row").alias("node")), "nodes")
+    def buckets_of(seen):
+        """(key, node) of prefixes (even keys) and of fingerprint blocks (odd keys)."""
 
-    def bands(seen: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = np.array(BANDS)
+            mixers = np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for b in batches:
-                for k in range(0, b.num_rows, 4096):
-                    node, fps = b.column(0).slice(k, 4096), b.column(1).slice(k, 4096)
-                    raw = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, 8 * WIDE).astype(np.int64)
-                    key = ((np.arange(len(at)) << 24) | (raw[:, at[:, 0]] << 16) | (raw[:, at[:, 1]] << 8) | raw[:, at[:, 2]]).ravel()
-                    node = np.repeat(node.to_numpy(), len(at))
+                for k in range(0, b.num_rows, 500):
+                    part, found = b.slice(k, 500), []
+                    with np.errstate(over="ignore"):
+                        for x in part.column(1):
+                            h = _hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width)
+                            near = ((masks & np.int64(_majority(h))).view(np.uint64) ^ mixers) * np.uint64(0xBF58476D1CE4E5B9)
+                            near = (near ^ (near >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                            found.append(np.concatenate([prefix(np.unique(h), common.value, similarity) & ~np.uint64(1), (near ^ (near >> np.uint64(32))) | np.uint64(1)]).view(np.int64))
+                    key, node = np.concatenate(found), np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
                     if seen is not None:
-                        h = (key * 2654435761 >> 20) & (FILTER_BITS - 1)
-                        hit = (seen[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                        hit = _hit(seen.value, key)
                         key, node = key[hit], node[hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
         return run
 
-    keyed = nodes.select("node", "fp").mapInArrow(bands(None), "key long, node long")
-    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "buckets")
-    word = lambda c: [F.conv(F.hex(F.substring(c, 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(WIDE)]
-    with_bits = nodes.select("node", *[w.alias(f"w{k}") for k, w in enumerate(word(F.col("fp")))])
-    side = lambda name: with_bits.select(F.col("node").alias(name), *[F.col(f"w{k}").alias(f"{name}{k}") for k in range(WIDE)])
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    twos = buckets.where("n = 2").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(apart <= distance).select("a", "b")
-    large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    h = F.shiftright(F.col("key") * 2654435761, 20).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = large.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()  # FILTER_BITS / 64 rows at the utmost
-    seen = np.zeros(FILTER_BITS // 64, np.uint64)
-    seen[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    members = nodes.select("node", "fp").mapInArrow(bands(seen), "key long, node long").join(large, "key").join(with_bits, "node")
+    keyed = texts.mapInArrow(buckets_of(None), "key long, node long")
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1"), "buckets")
+    seen = rows.sparkSession.sparkContext.broadcast(_bitmap(buckets))
+    members = materialize(texts.mapInArrow(buckets_of(seen), "key long, node long").join(buckets, "key"), "members")
+    block = F.col("key").bitwiseAND(F.lit(1).cast("long"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("fp").alias(f"{c}_fp"))
+    needed = lambda c: F.least(F.lit(COMMON), F.ceil(similarity * F.col(f"{c}_size") - 1e-9))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """(a, b) of (a, b, shared, blocks) that can have the similarity."""
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        sizes = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
+        near = (F.col("blocks") > 0) & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= NEAR)
+        return both.where(sizes & (near | (F.col("shared") >= F.least(needed("a"), needed("b"))))).select("a", "b")
+
+    stars = members.where("node <> a").select("a", F.col("node").alias("b"), block.alias("block")).groupBy("a", "b").agg(F.sum(1 - F.col("block")).alias("shared"), F.sum("block").alias("blocks"))
+    tested = materialize(candidates(stars), "stars")
+    links1 = materialize(_verified(tested, texts, width, similarity), "links")
+    roots = connected_components(links1, "a", "b").select(F.col("node").alias("_n"), "root")
+    rooted = members.where(block == 0).join(roots, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")  # a bucket of one component has no pair to find
+    sized = rooted.join(apart, "key", "left_semi").join(nodes.select("node", "size"), "node")
     home = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    tiled = members.select("key", F.struct("node", *[f"w{k}" for k in range(WIDE)]).alias("m"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiled = sized.select("key", F.struct("node", "root", "size", home.alias("home")).alias("m"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     tiles = tiled.groupBy("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j")).agg(F.collect_set("m").alias("m"))
 
-    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b) of the tiles' pairs of different roots and like sizes; pairs of one home come from that home's own tile."""
         for b in batches:
-            found = []
-            for x in b.column(0):
-                cols = x.values.flatten()
-                found.append(_wide_forest(cols[0].to_numpy(), np.stack([c.to_numpy() for c in cols[1:]], axis=1).view(np.uint64), distance))
-            a, c = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
-
-    edges = twos.union(tiles.select("m").mapInArrow(forests, "a long, b long"))
-    roots = connected_components(edges, "a", "b").select(F.col("node").alias("_n"), "root")
-    placed = nodes.join(roots, nodes["node"] == roots["_n"], "left").select("least", F.coalesce("root", "node").alias("root"))
+            for i, j, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                node, root, size, home = (c.to_numpy() for c in x.values.flatten())
+                for k in range(len(node)):
+                    fit = (root != root[k]) & (node > node[k]) & (np.minimum(size, size[k]) >= similarity * np.maximum(size, size[k]) - 1e-9)
+                    if i != j:
+                        fit &= home != home[k]
+                    if fit.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(fit.sum()), node[k])), pa.array(node[fit])], names=["a", "b"])
+
+    rest = tiles.select("i", "j", "m").mapInArrow(across, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"), F.lit(0).alias("blocks"))
+    untested = materialize(candidates(rest).join(tested, ["a", "b"], "left_anti"), "rest")
+    links2 = materialize(_verified(untested, texts, width, similarity), "links")
+    every = connected_components(links1.union(links2), "a", "b").select(F.col("node").alias("_n"), "root")
+    placed = nodes.join(every, nodes["node"] == every["_n"], "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    return own.join(stay, own["row"] == stay["_row"], "left").select(F.col("id").alias(id_col), "row", F.col("_row").isNotNull().alias("keep"))
+    return own.join(stay, own["row"] == stay["_row"], "left").select("row", F.col("_row").isNotNull().alias("keep"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay: of each group of near-duplicates (see similar_components) the one with the smallest id.
 
-    Null texts count as empty; all texts without words are one group. Rows that repeat an id and stay are all but one dropped.
+    Null texts count as empty; all texts without words are one group. Rows are told apart by a number of their own, so
+    null and repeated ids don't matter.
     """
-    own = materialize(similar_components(docs, id_col, text_col, width, distance), "near")
-    stay = own.where("keep").select(F.col(id_col).alias("_stay")).distinct()
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
-    repeated = own.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col]) if repeated else out
+    rows = materialize(docs.withColumn("_own_row", F.monotonically_increasing_id()), "rows")
+    near = materialize(similar_components(rows, id_col, text_col, "_own_row", width, similarity), "near")
+    return rows.join(near.where("keep").select(F.col("row").alias("_own_row")), "_own_row", "left_semi").select(*docs.columns)
