@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates stay in one document only; documents that lose nearly all of their text to others go."""
-    left = line_dedup.drop_lines(docs.withColumn("_before", F.length("text")))
+    left = line_dedup.drop_copies(docs.withColumn("_before", F.length("text")))
     changed = F.col("n_dropped") > 0
     n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.where(~changed | (F.length(F.btrim("text")) >= LEAST_LEFT * F.col("_before"))).withColumn("n_chars", n_chars).select(*docs.columns)
