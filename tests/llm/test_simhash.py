@@ -161,3 +161,14 @@ def test_keep_one_on_real_rows(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == brute_kept(rows) and len(kept) < len(rows)
+
+
+def test_short_texts_and_rows_without_ids_stay(spark):
+    """Ten-word texts that differ in an end word (0.71) are no near-duplicates; null ids don't make rows one."""
+    rng = random.Random(5)
+    docs = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(10)]
+        docs += [" ".join(words), " ".join([*words[:9], "other"])]
+    df = spark.createDataFrame([(None if i < 20 else i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    assert sorted(r.text for r in S.keep_one(df).collect()) == sorted(docs)
