@@ -50,7 +50,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing sources", mixture), ("SentencePiece encoding", pieces)]
 
-#: SQL has neither XXH64 nor the decomposition that the first stage needs; tests hold the pipeline against a brute-force version.
+#: SQL has neither XXH64 nor the decomposition that the first stage needs; tests hold near-dedup against all pairs and the other stages against what they must keep.
 ORACLE_SQL = None
 
 
