@@ -29,7 +29,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = piece_lattice.encode_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "scores", "ids_sha256", "decoded_sha256", "lossless")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "scores", "ids_sha256", "ids_sha256s", "decoded_sha256", "lossless")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
