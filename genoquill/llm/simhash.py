@@ -16,6 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,86 @@ def _hashes(raw: bytes, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
     return np.array([digest(text[i:j], seed) for i, j in zip(starts, ends, strict=True)], np.uint64)
 
 
+#: What stands for a byte at a place in its word (places repeat after 64, with another factor), blanks being zero.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = np.random.default_rng(42).integers(0, 1 << 64, (64, 256), np.uint64)
+_BYTES[:, 65:91] = _BYTES[:, 97:123]
+_BYTES[:, _BLANK] = 0
+_BYTES = _BYTES.ravel()
+CHUNK = 1 << 20
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data begin, and a 64-bit hash of each that depends on its letters alone (A-Z as a-z)."""
+    raw = np.frombuffer(data, np.uint8)
+    blank = np.concatenate([[True], _BLANK[raw], [True]])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    place = np.arange(len(raw))
+    if len(start):
+        first = np.zeros(len(raw), np.int64)
+        first[start] = start
+        place -= np.maximum.accumulate(first)
+    values = _BYTES[((place & 63) << 8) | raw]
+    if (end - start > 64).any():
+        values *= np.where(place < 64, np.uint64(1), _mixed((place >> 6).astype(np.uint64)) | np.uint64(1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+    return start, _mixed(sums[end] - sums[start] + (end - start).astype(np.uint64))
+
+
+def _blocks(raw: bytes) -> Iterator[bytes]:
+    """raw in blocks of about CHUNK bytes, cut at blanks."""
+    at = 0
+    while at < len(raw):
+        end = at + CHUNK
+        while end < len(raw) and not _BLANK[raw[end]]:
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
+def shingle_hashes(raws: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its shingles of width words in their order; of all its words if it has fewer, none without words."""
+    out, waiting, held = [], [], 0
+    with np.errstate(over="ignore"):
+        for raw in raws:
+            if held + len(raw) > CHUNK and waiting:
+                out += _shingled(waiting, width)
+                waiting, held = [], 0
+            waiting.append(raw)
+            held += len(raw)
+        if waiting:
+            out += _shingled(waiting, width)
+    return out
+
+
+def _shingled(raws: list[bytes], width: int) -> list[np.ndarray]:
+    if len(raws) == 1:
+        found = [_word_hashes(x)[1] for x in _blocks(raws[0])]
+        words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        size = np.array([len(words)])
+    else:
+        start, words = _word_hashes(b"\n".join(raws))
+        ends = np.cumsum([len(x) + 1 for x in raws])
+        size = np.diff(np.searchsorted(start, ends), prepend=0)
+    first = np.cumsum(size) - size
+    n = np.where(size > 0, np.maximum(size - width + 1, 1), 0)  # shingles of each text
+    at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    last = np.repeat(first + size, n)
+    total = np.zeros(len(at), np.uint64)
+    weights = np.random.default_rng(width).integers(0, 1 << 64, width, np.uint64) | np.uint64(1)
+    for k in range(width if len(at) else 0):
+        total += np.where(at + k < last, words[np.minimum(at + k, len(words) - 1)] * weights[k], np.uint64(0))
+    return np.split(_mixed(total), np.cumsum(n)[:-1])
+
+
 def _majority(hashes: np.ndarray) -> int:
     """Each bit the majority of that bit over hashes, as a signed number; 0 without hashes."""
     ones = np.zeros(BITS, np.int64)
@@ -55,6 +136,18 @@ def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
     return _majority(_hashes(raw, width, seed))
 
 
+def _raws(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.to_pylist()]
+
+
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """b in slices of about two million bytes in a column."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) >> 21
+    edges = np.flatnonzero(np.diff(group, prepend=-1))
+    for lo, hi in zip(edges, [*edges[1:], b.num_rows]):
+        yield b.slice(lo, hi - lo)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(id_col, fp): one row per row of docs; null text counts as empty."""
     kept = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("raw"))
@@ -224,13 +317,13 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for x in b.column(2):
-                h = _hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width)
-                own = np.unique(h)
-                got.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), _majority(h)))
-            digest, size, fp = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(fp, pa.int64())], names=schema.names)
+            for part in _slices(b, 2):
+                got = []
+                for h in shingle_hashes(_raws(part.column(2)), width):
+                    own = np.unique(h)
+                    got.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), _majority(h)))
+                digest, size, fp = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(fp, pa.int64())], names=schema.names)
 
     own = materialize(raw.mapInArrow(run, schema), "own")
     nodes = materialize(own.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.min("row").alias("node"), F.min("size").alias("size"), F.min("fp").alias("fp")), "nodes")
@@ -240,8 +333,8 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                h = [np.unique(_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width)) for x in b.column(0).slice(k, 200)]
+            for part in _slices(b, 0):
+                h = [np.unique(x) for x in shingle_hashes(_raws(part.column(0)), width)]
                 key, n = np.unique(np.concatenate(h), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
@@ -258,11 +351,10 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixers = np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for b in batches:
-                for k in range(0, b.num_rows, 500):
-                    part, found = b.slice(k, 500), []
+                for part in _slices(b, 1):
+                    found = []
                     with np.errstate(over="ignore"):
-                        for x in part.column(1):
-                            h = _hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width)
+                        for h in shingle_hashes(_raws(part.column(1)), width):
                             near = ((masks & np.int64(_majority(h))).view(np.uint64) ^ mixers) * np.uint64(0xBF58476D1CE4E5B9)
                             near = (near ^ (near >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
                             found.append(np.concatenate([prefix(np.unique(h), common.value, similarity) & ~np.uint64(1), (near ^ (near >> np.uint64(32))) | np.uint64(1)]).view(np.int64))
