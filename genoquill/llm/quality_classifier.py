@@ -16,7 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,12 +67,17 @@ class Model:
         size = np.linalg.norm(v)
         return v / size if size > 0 else v
 
-    def score(self, texts: list[bytes], block: int = 512) -> np.ndarray:
-        """Share of good among the weighted votes of each text's neighbours; 0 for a text without words, 0.5 without labels."""
+    def score(self, texts: list[bytes] | pa.Array, block: int = 256) -> np.ndarray:
+        """Share of good among the weighted votes of each text's neighbours; 0 for a null or a text without words, 0.5 without labels.
+
+        Of an Arrow array of bytes a block at a time is held as Python objects.
+        """
         out = np.zeros(len(texts))
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), block):
             part = texts[at : at + block]
+            if isinstance(part, pa.Array):
+                part = [x or b"" for x in part.to_pylist()]
             some = np.array([bool(x.strip()) for x in part])
             if not k:
                 out[at : at + block] = np.where(some, 0.5, 0.0)
@@ -114,10 +119,15 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Model:
-    """Fit on at most `most` labelled ids, those with the smallest hashes; held-out rows, null labels and null ids are left out."""
+    """Fit on at most `most` labelled ids, those with the smallest hashes; held-out rows, null labels and null ids are left out.
+
+    Of rows that repeat an id the one whose text has the smallest hash is learned from.
+    """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     picked = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_raw")).join(F.broadcast(picked), "_id")  # most rows at the utmost
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_raw")).join(F.broadcast(picked), "_id")  # most rows at the utmost
+    least = F.min(F.struct(F.xxhash64("_raw").alias("h"), F.col("_raw").alias("raw"))).alias("least")
+    chosen = found.groupBy("_id").agg(least, F.first("_label").alias("_label")).select("_id", F.col("least.raw").alias("_raw"), "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,37 +135,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32())), b.column(2)], names=["_id", "at", "weight", "label"])
 
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
-    rows = chosen.select("_id", "_raw", "_label").mapInArrow(run, schema).dropDuplicates(["_id"]).toArrow()
+    rows = chosen.select("_id", "_raw", "_label").mapInArrow(run, schema).toArrow()
     rows = rows.sort_by("_id")
     return fit([(np.array(a, np.int32), np.array(w, np.float32), y) for a, w, y in zip(rows["at"].to_pylist(), rows["weight"].to_pylist(), rows["label"].to_pylist(), strict=True)])
 
 
+def scorer(spark: SparkSession, model: Model):
+    """The function from a column of bytes to scores; only this column goes to Python, in Arrow batches."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(shared.value.score(texts), pa.float64())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, T.DoubleType())
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: id_col, held_out, score and predicted (1 if the score reaches the threshold).
 
     Only the text enters a score. A null or empty text scores 0; without any usable label every other text scores 0.5.
     Other columns of docs and labels are ignored; null and repeated ids are rows like others.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = model.value.score([x.as_py() or b"" for x in b.column(1)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=schema.names)
-
-    scored = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    scored = docs.select(F.col(id_col), scorer(docs.sparkSession, train(docs, labels, id_col, text_col, label_col))(F.col(text_col).cast("binary")).alias("score"))
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, whose score reaches the threshold; see score."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = model.value.score([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(at)])
-            yield b.filter(pa.array(got >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    good = scorer(docs.sparkSession, train(docs, labels, id_col, text_col, label_col))
+    return docs.where(good(F.col(text_col).cast("binary")) >= threshold)
