@@ -91,9 +91,9 @@ def find_all(seq, text: str) -> Column:
 
 def kmer_count(seq, kmer: str, compat: bool = True) -> Column:
     """Windows of seq that equal kmer; with compat the last window isn't looked at."""
-    s, k = _c(seq), len(kmer)
-    last = F.length(s) - k - (1 if compat else 0)
-    return F.when(last < 0, 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(s, i + 1, F.lit(k)) == kmer))).cast("long")
+    s = _c(seq)
+    all_ = F.regexp_count(s, F.lit(f"(?={re.escape(kmer)})"))
+    return (all_ - F.endswith(s, F.lit(kmer)).cast("int") if compat else all_).cast("long")
 
 
 def motif_regex(motif: str) -> str:
@@ -132,9 +132,8 @@ def codon(seq, i) -> Column:
 def translate(seq, table: int = 1) -> Column:
     """Protein of a coding sequence; codons with N are X, letters behind the last whole codon are left."""
     s, codes = _c(seq), F.create_map(*[F.lit(x) for kv in codon_table(table).items() for x in kv])
-    n = F.floor(F.length(s) / 3).cast("int")
-    amino = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.coalesce(F.try_element_at(codes, F.substring(s, i * 3 + 1, F.lit(3))), F.lit(UNKNOWN_AMINO)))
-    return F.when(n > 0, F.array_join(amino, "")).otherwise("")
+    codons = F.regexp_extract_all(s, F.lit("(?s).{3}"), F.lit(0))
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(codes, c), F.lit(UNKNOWN_AMINO))), "")
 
 
 def first_stop(protein) -> Column:
@@ -179,14 +178,44 @@ def local_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def lz76(text: str) -> int:
-    """Number of components of the exhaustive history of a text (Lempel and Ziv, 1976)."""
-    n, i, count = len(text), 0, 0
-    while i < n:
-        size = 1
-        while i + size <= n and text.find(text[i : i + size], 0, i + size - 1) >= 0:
-            size += 1
-        count, i = count + 1, i + size
-    return count
+    """Number of components of the exhaustive history of a text (Lempel and Ziv, 1976), in linear time.
+
+    A component is the shortest text that doesn't occur in what stands before its last letter. A suffix automaton of all
+    letters read so far follows the component letter by letter.
+    """
+    below, link, longest = [{}], [-1], [0]
+    last = state = size = count = 0
+    for ch in text:
+        at = below[state].get(ch)  # is the component, with this letter, a part of what stands before the letter?
+        new = len(below)
+        below.append({})
+        link.append(0)
+        longest.append(longest[last] + 1)
+        p = last
+        while p >= 0 and ch not in below[p]:
+            below[p][ch] = new
+            p = link[p]
+        if p >= 0:
+            q = below[p][ch]
+            if longest[p] + 1 == longest[q]:
+                link[new] = q
+            else:
+                twin = len(below)
+                below.append(dict(below[q]))
+                link.append(link[q])
+                longest.append(longest[p] + 1)
+                while p >= 0 and below[p].get(ch) == q:
+                    below[p][ch] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+        if at is None:
+            count, state, size = count + 1, 0, 0
+        else:
+            state, size = at, size + 1
+            while longest[link[state]] >= size:
+                state = link[state]
+    return count + (size > 0)
 
 
 @F.pandas_udf(T.LongType())

@@ -161,8 +161,14 @@ def singletons(df: DataFrame) -> DataFrame:
 
 
 def genotype_groups(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Genomes with the same set of variants: (by, genotype, genomes). genotype: a digest of the sorted distinct variants."""
-    t = with_hgvs(df).groupBy(*by, "genome_id").agg(F.md5(F.array_join(F.sort_array(F.collect_set("hgvs")), "|")).alias("genotype"))
+    """Genomes with the same set of variants: (by, genotype, genomes). genotype: an order-free digest of the distinct variants.
+
+    The digest is made of sums over two 64-bit hashes and the number of variants, so no set is ever gathered.
+    """
+    distinct = with_hgvs(df).select(*by, "genome_id", "hgvs").distinct()
+    hashes = [F.xxhash64("hgvs", F.lit(seed)) for seed in (1, 2)]
+    digest = F.concat_ws("-", F.count("*").cast("string"), *[F.hex(F.bit_xor(h)) for h in hashes], F.hex(F.sum(F.pmod(hashes[0], F.lit(1 << 31))).cast("long")))
+    t = distinct.groupBy(*by, "genome_id").agg(digest.alias("genotype"))
     return t.groupBy(*by, "genotype").agg(F.count("*").alias("genomes"))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_bounds: tuple[str, str], right_bounds: tuple[str, str], bin_size: int = 64, contained: bool = False) -> DataFrame:
     """Rows of left and right with equal `on` whose open-right intervals intersect (or left lies in right).
@@ -34,6 +37,27 @@ def gene_variants(variants: DataFrame, genes: DataFrame, bin_size: int = 64) ->
     return t.where("kind = 'DELETE' OR (lo >= r_lower AND up <= r_upper)").drop("kind", "lo", "up")
 
 
+def gene_carriers(variants: DataFrame, genes: DataFrame, bin_size: int = 64) -> DataFrame:
+    """(gene_id, n, genomes, homozygous_genomes) over gene_variants: variants, genomes that carry one, and those that carry one twice or more.
+
+    Variants are first collapsed to intervals with the genomes that have them as bits of 64-bit words, so that the join meets
+    distinct intervals and not the variants of every genome; a gene's genomes are the union of the bits.
+    """
+    from ..functions import variants as V
+
+    t = variants.withColumn("_m", V.member_interval()).select("contig_id", "genome_id", "ref", "alt", "pos", F.col("_m.kind").alias("kind"), F.col("_m.lower").alias("lo"), F.col("_m.upper").alias("up")).where("up > lo")
+    per = t.groupBy("contig_id", "kind", "lo", "up", "genome_id", "pos", "ref", "alt").agg(F.count("*").alias("n"))
+    per = stored(per.groupBy("contig_id", "kind", "lo", "up", "genome_id").agg(F.sum("n").alias("n"), F.max("n").alias("most")), "per-genome")
+    number = per.select("genome_id").distinct().select("genome_id", (F.row_number().over(W.orderBy("genome_id")) - 1).alias("_k"))  # one row a genome
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_k") % 64).cast("int"))
+    masks = per.join(number, "genome_id").groupBy("contig_id", "kind", "lo", "up", F.floor(F.col("_k") / 64).alias("word")).agg(F.sum("n").alias("n"), F.bit_or(bit).alias("some"), F.bit_or(F.when(F.col("most") > 1, bit).otherwise(F.lit(0).cast("long"))).alias("twice"))
+    met = interval_join(masks, genes.select("contig_id", "gene_id", "lower", "upper"), ["contig_id"], ("lo", "up"), ("lower", "upper"), bin_size)
+    met = met.where("kind = 'DELETE' OR (lo >= r_lower AND up <= r_upper)")
+    words = met.groupBy(F.col("r_gene_id").alias("gene_id"), "word").agg(F.sum("n").alias("n"), F.bit_or("some").alias("some"), F.bit_or("twice").alias("twice"))
+    size = lambda c: F.sum(F.bit_count(c)).cast("long")
+    return words.groupBy("gene_id").agg(F.sum("n").alias("n"), size("some").alias("genomes"), size("twice").alias("homozygous_genomes"))
+
+
 def exon_variants(variants: DataFrame, exons: DataFrame, distinct: bool = False, bin_size: int = 64) -> DataFrame:
     """gene_variants over exons (gene_id, contig_id, lower, upper); shared exons count again unless distinct."""
     t = gene_variants(variants, exons, bin_size)
@@ -44,10 +68,35 @@ def template_semi_join(df: DataFrame, wanted: DataFrame, on: Sequence[str]) -> D
     return df.join(wanted.select(*on), list(on), "left_semi")
 
 
-def reference_check(variants: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Per contig the variants and those whose reference text stands in the contig's sequence. contigs (contig_id, sequence) is joined on its key."""
-    ok = F.substring("sequence", F.col("pos").cast("int") + 1, F.length("ref")) == F.col("ref")
-    return variants.join(contigs, "contig_id", "left").groupBy("contig_id").agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"))
+def windows(contigs: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """(contig_id, window, text): the sequences of contigs (contig_id, sequence) in pieces of size letters, window counting them from 0."""
+    text = F.regexp_extract_all(F.col("sequence"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return contigs.select("contig_id", F.posexplode(text).alias("window", "text"))
+
+
+def reference_at(rows: DataFrame, contigs: DataFrame, start: str = "pos", length: Column | str = "1", size: int = 1 << 16) -> DataFrame:
+    """rows with _reference: the length letters of the contig from start on, fewer at its end; null on an unknown contig.
+
+    A row meets only the windows of the reference that it touches, by equi-join on (contig, window), never a whole contig.
+    """
+    n = length if isinstance(length, Column) else F.expr(length)
+    t = rows.withColumns({"_row": F.monotonically_increasing_id(), "_n": n.cast("long")})
+    t = stored(t, "rows")
+    lo, up = F.col(start), F.col(start) + F.col("_n")
+    touched = t.where((lo >= 0) & (up > lo)).select("_row", "contig_id", F.col(start).alias("_lo"), up.alias("_up"), F.explode(F.sequence(F.floor(lo / size), F.floor((up - 1) / size))).alias("window"))
+    at = F.greatest(F.col("_lo") - F.col("window") * size, F.lit(0))
+    part = F.substring(F.col("text"), (at + 1).cast("int"), (F.col("_up") - F.col("window") * size - at).cast("int"))
+    found = touched.join(windows(contigs, size), ["contig_id", "window"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("window", part.alias("p")))).alias("_parts"))
+    known = contigs.select("contig_id").distinct().withColumn("_known", F.lit(True))
+    out = t.join(found, "_row", "left").join(known, "contig_id", "left")
+    text = F.coalesce(F.array_join(F.transform("_parts", lambda x: x["p"]), ""), F.lit(""))
+    return out.withColumn("_reference", F.when(F.col("_known"), text)).select(*rows.columns, "_reference")
+
+
+def reference_check(variants: DataFrame, contigs: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """Per contig the variants and those whose reference text stands in the contig's sequence (contigs: contig_id, sequence)."""
+    t = reference_at(variants.select("contig_id", "pos", "ref"), contigs, "pos", F.length("ref"), size)
+    return t.groupBy("contig_id").agg(F.count("*").alias("total"), F.count_if(F.col("_reference") == F.col("ref")).alias("valid"))
 
 
 def alias_join(df: DataFrame, aliases: DataFrame, column: str = "contig_id") -> DataFrame:
@@ -77,7 +126,11 @@ def radius_join(places: DataFrame, radius: float, name: str = "city", lat: str =
 
 
 def proximity(genes: DataFrame, distance: int, start: str = "lower") -> DataFrame:
-    """Pairs of genes of a contig whose starts are at most distance apart; joined on bins of that width."""
+    """Pairs of genes of a contig whose starts are at most distance apart; joined on bins of that width. At distance 0 all pairs of a contig."""
+    if distance == 0:
+        a = genes.select("contig_id", "gene_id", F.col(start).alias("at"))
+        b = genes.select("contig_id", F.col("gene_id").alias("near_id"), F.col(start).alias("near_at"))
+        return a.join(b, "contig_id").where(F.col("gene_id") != F.col("near_id"))
     width = max(distance, 1)
     a = genes.select("contig_id", "gene_id", F.col(start).alias("at"), F.floor(F.col(start) / width).alias("_bin"))
     b = genes.select("contig_id", F.col("gene_id").alias("near_id"), F.col(start).alias("near_at"), F.explode(F.array(*[F.floor(F.col(start) / width) + k for k in (-1, 0, 1)])).alias("_bin"))

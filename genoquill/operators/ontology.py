@@ -11,22 +11,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
 
-def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(term, ancestor, distance): all ancestors, self included at 0, with the shortest distance; one recursive query.
 
-    The recursion walks level by level and keeps distinct pairs of a level, so terms of many paths don't multiply.
+def _acyclic(pairs: DataFrame) -> int:
+    """How many pairs there are; ValueError if one joins a term with itself."""
+    row = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("term") == F.col("ancestor")).alias("loops")).first()
+    if row.loops:
+        raise ValueError("the edges hold a cycle")
+    return row.n
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(term, ancestor, distance): all ancestors, self included at 0, with the shortest distance. A cycle is an error.
+
+    Distances double: from all pairs of up to 2^k edges those of up to 2^(k + 1) follow by one join of the pairs that are
+    2^k apart, as a shortest path runs through such a place. So a chain of n edges takes log2(n) rounds, each a stored table.
     """
-    spark = edges.sparkSession
-    name = f"_edges_{abs(hash(edges.semanticHash()))}"
-    edges.select("child", "parent").distinct().createOrReplaceTempView(name)
-    return spark.sql(
-        f"""WITH RECURSIVE walk(term, ancestor, distance) AS (
-              SELECT t, t, 0 FROM (SELECT child AS t FROM {name} UNION SELECT parent FROM {name})
-              UNION ALL
-              SELECT DISTINCT w.term, e.parent, w.distance + 1 FROM walk w JOIN {name} e ON e.child = w.ancestor WHERE w.distance < {most_depth})
-            SELECT term, ancestor, min(distance) AS distance FROM walk GROUP BY term, ancestor"""
-    )
+    e = edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct()
+    known = stored(e.select(F.col("child").alias("term"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "closure")
+    _acyclic(known)
+    reach = 1
+    while True:
+        half = known.where(F.col("distance") == reach).select("term", F.col("ancestor").alias("_via"))
+        rest = known.select(F.col("term").alias("_via"), "ancestor", "distance")
+        found = half.join(rest, "_via").groupBy("term", "ancestor").agg((F.min("distance") + reach).alias("distance"))
+        more = stored(found.join(known.select("term", "ancestor"), ["term", "ancestor"], "left_anti"), "closure")
+        if not _acyclic(more):
+            break
+        known, reach = stored(known.union(more), "closure"), 2 * reach
+    terms = e.select(F.col("child").alias("term")).union(e.select("parent")).distinct()
+    return stored(known.union(terms.select("term", F.col("term").alias("ancestor"), F.lit(0).alias("distance"))), "closure")
 
 
 def strict(c: DataFrame) -> DataFrame:
@@ -96,17 +111,26 @@ def information_content(c: DataFrame, annotations: DataFrame, edges: DataFrame)
     return total.crossJoin(F.broadcast(top)).select("term", (-F.ln(F.col("n") / F.col("_all"))).alias("ic"))  # one row
 
 
-def path_counts(edges: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(term, ancestor, paths): number of paths, one to itself."""
-    spark = edges.sparkSession
-    name = f"_paths_{abs(hash(edges.semanticHash()))}"
-    edges.select("child", "parent").distinct().createOrReplaceTempView(name)
-    return spark.sql(
-        f"""WITH RECURSIVE walk(term, ancestor, depth) AS (
-              SELECT t, t, 0 FROM (SELECT child AS t FROM {name} UNION SELECT parent FROM {name})
-              UNION ALL SELECT w.term, e.parent, w.depth + 1 FROM walk w JOIN {name} e ON e.child = w.ancestor WHERE w.depth < {most_depth})
-            SELECT term, ancestor, count(*) AS paths FROM walk GROUP BY term, ancestor"""
-    )
+def path_counts(edges: DataFrame) -> DataFrame:
+    """(term, ancestor, paths): number of paths, one to itself. A cycle is an error.
+
+    With A the matrix of edges the sum of its powers is the product of (1 + A), (1 + A^2), (1 + A^4) and so on; counts of a
+    pair are summed in each round, so that paths are never listed.
+    """
+    e = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).where("term IS NOT NULL AND ancestor IS NOT NULL").distinct()
+    power = stored(e.withColumn("paths", F.lit(1).cast("long")), "paths")
+    n, total = _acyclic(power), power
+
+    def product(a: DataFrame, b: DataFrame) -> DataFrame:
+        through = a.select("term", F.col("ancestor").alias("_via"), F.col("paths").alias("_n")).join(b.select(F.col("term").alias("_via"), "ancestor", "paths"), "_via")
+        return through.groupBy("term", "ancestor").agg(F.sum(F.col("_n") * F.col("paths")).alias("paths"))
+
+    while n:
+        power = stored(product(power, power), "paths")
+        if n := _acyclic(power):
+            total = stored(total.union(power).union(product(total, power)).groupBy("term", "ancestor").agg(F.sum("paths").alias("paths")), "paths")
+    terms = e.select("term").union(e.select("ancestor")).distinct()
+    return total.union(terms.select("term", F.col("term").alias("ancestor"), F.lit(1).cast("long").alias("paths")))
 
 
 def information_content_paths(edges: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -321,20 +345,23 @@ def annotation_counts(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return g.groupBy("gene").agg(F.count("*").alias("terms")), g.groupBy("term").agg(F.count("*").alias("genes"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(term, component): smallest term reachable over edges in either direction; labels spread until none changes."""
-    from ..storage import stored
+def components(edges: DataFrame) -> DataFrame:
+    """(term, component): smallest term reachable over edges in either direction.
 
-    both = edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    Each round a term takes the smallest label of itself and its neighbours, and then the label of that label, until none
+    changes; the second step halves long chains.
+    """
+    both = edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = stored(both.union(both.select("b", "a")).distinct(), "edges")
     label = stored(both.select(F.col("a").alias("term")).distinct().withColumn("component", F.col("term")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("term", "b"), "b").groupBy(F.col("a").alias("term")).agg(F.min("component").alias("_m"))
-        nxt = stored(label.join(near, "term").select("term", F.least("component", "_m").alias("component"), (F.col("_m") < F.col("component")).alias("_c")), "labels")
-        label = nxt.drop("_c")
-        if not nxt.where("_c").limit(1).count():
-            break
-    return label
+        least = label.join(near, "term").select("term", F.least("component", "_m").alias("_m"), F.col("component").alias("_was"))
+        jump = label.select(F.col("term").alias("_m"), F.col("component").alias("_j"))
+        new = stored(least.join(jump, "_m").select("term", F.least("_m", "_j").alias("component"), "_was"), "labels")
+        label = new.drop("_was")
+        if new.where("component <> _was").isEmpty():
+            return label
 
 
 def ranked(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:

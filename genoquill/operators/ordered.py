@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
+from ..storage import stored
 
 
 def _index(n: Column, p: float) -> Column:
@@ -19,19 +20,53 @@ def _index(n: Column, p: float) -> Column:
     return F.greatest(F.least(rounded, n - 1), F.lit(0)).cast("long")
 
 
+def _counted(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """(by, column, n, before, _all): rows of each value, rows of smaller values, and all rows of the key. Nulls are left out.
+
+    Values are counted first and then dealt by range, so that neither a key nor a frequent value becomes one task: what a range
+    holds below a value is a running sum in the range, and only the ranges' totals meet by key.
+    """
+    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    n = stored(n.repartitionByRange(F.col(column)).withColumn("_range", F.spark_partition_id()), "counts")
+    per = n.groupBy(*by, "_range").agg(F.sum("n").alias("_sum"))
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    per = per.withColumn("_offset", F.coalesce(F.sum("_sum").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_sum").over(whole))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy(*by, "_range").orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    t = n.withColumn("_inside", inside).alias("t")
+    per = per.alias("o")
+    same = F.col("t._range") == F.col("o._range")
+    for c in by:
+        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return t.join(per, same).select(*[F.col(f"t.{c}") for c in (*by, column, "n")], (F.col("_inside") + F.col("_offset")).alias("before"), "_all")
+
+
 def percentiles(df: DataFrame, column: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, p, value): the sorted value at the percentile's index. Nulls are left out."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    t = df.where(F.col(column).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(column)) - 1).withColumn("_n", F.count("*").over(w))
-    q = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), _index(F.col("_n"), p).alias("i")) for p in ps])).alias("q")
-    return t.select(*by, column, "_k", q).where("q.i = _k").select(*by, F.col("q.p").alias("p"), F.col(column).alias("value"))
+    q = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), _index(F.col("_all"), p).alias("i")) for p in ps])).alias("q")
+    t = _counted(df, column, by).select(*by, column, "before", "n", q)
+    return t.where("q.i >= before AND q.i < before + n").select(*by, F.col("q.p").alias("p"), F.col(column).alias("value"))
+
+
+def _between(df: DataFrame, column: str, lowest, highest, by: Sequence[str]) -> DataFrame:
+    """Rows of df whose index in the order of column lies in [lowest, highest), both functions of the rows' number; nulls are left out.
+
+    Of rows of one value that a bound cuts, those of the smallest hashes come first.
+    """
+    c = _counted(df, column, by).withColumns({"_lo": lowest(F.col("_all")), "_hi": highest(F.col("_all"))})
+    c = c.where((F.col("before") < F.col("_hi")) & (F.col("before") + F.col("n") > F.col("_lo")))
+    cut = c.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate((*by, column))], (F.col("_lo") - F.col("before")).alias("_from"), (F.col("_hi") - F.col("before")).alias("_to"), "n")
+    same = F.lit(True)
+    for i, k in enumerate((*by, column)):
+        same = same & df[k].eqNullSafe(F.col(f"_k{i}"))
+    t = df.join(cut, same).withColumn("_whole", (F.col("_from") <= 0) & (F.col("_to") >= F.col("n")))
+    edge = t.where(~F.col("_whole")).withColumn("_at", F.row_number().over(W.partitionBy(*[f"_k{i}" for i in range(len(by) + 1)]).orderBy(F.xxhash64(*df.columns))) - 1)
+    edge = edge.where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
+    return t.where("_whole").select(*df.columns).union(edge.select(*df.columns))
 
 
 def percentile_range(df: DataFrame, column: str, bottom: float, top: float, by: Sequence[str] = ()) -> DataFrame:
     """Rows between two percentile indexes, the upper one excluded."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    t = df.where(F.col(column).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(column)) - 1).withColumn("_n", F.count("*").over(w))
-    return t.where((F.col("_k") >= _index(F.col("_n"), bottom)) & (F.col("_k") < _index(F.col("_n"), top))).drop("_k", "_n")
+    return _between(df, column, lambda n: _index(n, bottom), lambda n: _index(n, top), by)
 
 
 def inverse_percentile(df: DataFrame, column: str, value: float, by: Sequence[str] = ()) -> DataFrame:
@@ -47,10 +82,8 @@ def geq_count(df: DataFrame, column: str, value: float, by: Sequence[str] = (),
 
 
 def percentile_slice(df: DataFrame, column: str, bottom: float, top: float, by: Sequence[str] = ()) -> DataFrame:
-    """Rows whose sorted index lies between floor(n bottom) and floor(n top), both included."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    t = df.withColumn("_k", F.row_number().over(w.orderBy(column)) - 1).withColumn("_n", F.count("*").over(w))
-    return t.where((F.col("_k") >= F.floor(F.col("_n") * bottom)) & (F.col("_k") <= F.floor(F.col("_n") * top))).drop("_k", "_n")
+    """Rows whose sorted index lies between floor(n bottom) and floor(n top), both included. Nulls are left out."""
+    return _between(df, column, lambda n: F.floor(n * F.lit(float(bottom))), lambda n: F.floor(n * F.lit(float(top))) + 1, by)
 
 
 def tile_gaps(df: DataFrame, size: int) -> DataFrame:
@@ -75,38 +108,44 @@ def top_n(df: DataFrame, column: str, n: int, *ties: str) -> DataFrame:
 def upstream_deletes(df: DataFrame, keys: Sequence[str] = ("genome_id", "contig_id"), pos: str = "pos", order: Sequence[str] = ("vcf_line", "part", "supp")) -> DataFrame:
     """df without the rows that an earlier kept delete has removed; a kept delete removes what its interval intersects.
 
-    A row is judged by the deletes kept before it, so each contig of each genome is scanned in order, in a task of its own.
+    Only deletes change what is removed: their places and ends alone are scanned in order, per contig of a genome, to find
+    those that stay. Every row is then held against the end of the last delete that stays before it.
     """
-    t = df.withColumn("_m", V.modify_interval(pos=pos)).withColumns({"_lo": F.col("_m.lower"), "_up": F.col("_m.upper"), "_del": F.col("_m.kind") == "DELETE"}).drop("_m")
-    columns, by = df.columns, [pos, *order]
+    by = [pos, *order]
+    t = df.withColumn("_m", V.modify_interval(pos=pos)).withColumns({"_lo": F.col("_m.lower"), "_up": F.col("_m.upper"), "_del": (F.col("_m.kind") == "DELETE") & (F.col("_m.upper") > F.col("_m.lower"))}).drop("_m")
+    deletes = t.where("_del").select(*keys, *by, "_lo", "_up")
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(by, kind="stable")
         reach, keep = -1, []
-        for lo, up, gone in zip(rows["_lo"], rows["_up"], rows["_del"], strict=True):
-            hit = lo < reach
-            keep.append(not hit)
-            if gone and not hit and up > lo:
-                reach = max(reach, up)
-        return rows[keep][columns]
+        for lo, up in zip(rows["_lo"], rows["_up"], strict=True):
+            keep.append(lo >= reach)
+            reach = up if keep[-1] else reach
+        return rows[keep]
 
-    return t.groupBy(*keys).applyInPandas(scan, df.schema)
+    kept = deletes.groupBy(*keys).applyInPandas(scan, deletes.schema).select(*keys, *by, F.col("_up").alias("_reach"))
+    events = t.select(*keys, *by, "_lo", F.lit(None).cast("long").alias("_reach"), F.struct(*df.columns).alias("_row"))
+    marks = kept.select(*keys, *by, F.lit(None).cast("long").alias("_lo"), F.col("_reach").cast("long"), F.lit(None).cast(events.schema["_row"].dataType).alias("_row"))
+    before = W.partitionBy(*keys).orderBy(*by, F.col("_reach").isNotNull()).rowsBetween(W.unboundedPreceding, -1)
+    judged = events.union(marks).withColumn("_till", F.max("_reach").over(before))
+    return judged.where(F.col("_row").isNotNull() & (F.col("_till").isNull() | (F.col("_lo") >= F.col("_till")))).select("_row.*")
 
 
 def spaced_loci(df: DataFrame, spacing: int, lowest: float = 0.0, highest: float = 1.0, most: int | None = None, keys: Sequence[str] = ("contig_id",), pos: str = "pos", af: str = "af") -> DataFrame:
     """Per key the loci taken from the left, each at least spacing behind the one before, with frequencies within bounds; the first `most`.
 
-    Frequencies of a locus are averaged before the scan, so that the scan sees each locus once.
+    Frequencies of a locus are averaged before the scan, so that the scan sees each locus of a key once.
     """
     loci = df.where((F.col(af) >= lowest) & (F.col(af) <= highest)).groupBy(*keys, pos).agg(F.avg(af).alias(af))
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(pos)
-        keep, last = [], None
+        keep, last, left = [], None, len(rows) if most is None else most
         for p in rows[pos]:
-            take = (last is None or p - last >= spacing) and (most is None or sum(keep) < most)
+            take = left > 0 and (last is None or p - last >= spacing)
             keep.append(take)
-            last = p if take else last
+            if take:
+                last, left = p, left - 1
         return rows[keep]
 
     return loci.groupBy(*keys).applyInPandas(scan, loci.schema)

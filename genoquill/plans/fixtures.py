@@ -50,15 +50,15 @@ RELATIONS: dict[str, tuple[list[tuple[str, str]], str]] = {
         "part",
     ),
     "annotations": (
-        [("gene", "concat('a', CAST(l_partkey % 200 AS {S}))"), ("term", "concat('S', CAST(l_suppkey % 40 AS {S}))"), ("evidence", "l_returnflag")],
-        "(SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem WHERE l_partkey % 3 = 0) l",
+        [("gene", "concat('a', CAST(l_partkey AS {S}))"), ("term", "concat('S', CAST(l_suppkey AS {S}))"), ("evidence", "l_returnflag")],
+        "(SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem) l",
     ),
     "term_edges": (
         [("child", "child"), ("parent", "parent")],
         """(SELECT concat('N', CAST(n_nationkey AS {S})) AS child, concat('R', CAST(n_regionkey AS {S})) AS parent FROM nation
             UNION SELECT concat('N', CAST(n_nationkey AS {S})), concat('R', CAST(CAST(floor(n_nationkey / 5) AS INT) % 5 AS {S})) FROM nation
             UNION SELECT concat('R', CAST(r_regionkey AS {S})), 'ROOT' FROM region
-            UNION SELECT concat('S', CAST(s_suppkey AS {S})), concat('N', CAST(s_nationkey AS {S})) FROM supplier WHERE s_suppkey < 40) e""",
+            UNION SELECT concat('S', CAST(s_suppkey AS {S})), concat('N', CAST(s_nationkey AS {S})) FROM supplier) e""",
     ),
     "publications": (
         [
@@ -68,7 +68,7 @@ RELATIONS: dict[str, tuple[list[tuple[str, str]], str]] = {
             ("journal", "source"),
             ("author", "concat('Au, ', CAST(doc_id % 37 AS {S}))"),
             ("initials", "substr('jkl', CAST(1 + doc_id % 3 AS INT), 1)"),
-            ("title", "substr(text, 1, 40)"),
+            ("title", "text"),
             ("abstract", "text"),
             ("chemical", "concat('ch', CAST(doc_id % 13 AS {S}))"),
             ("mesh", "concat('D', CAST(doc_id % 17 AS {S}))"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ontology as G
+from ..storage import stored
 from .fixtures import ctes, frame
 from .registry import query
 
@@ -19,7 +20,7 @@ closure AS (SELECT term, ancestor, min(distance) AS distance FROM walk GROUP BY
 depth AS (SELECT term, min(distance) AS depth FROM closure WHERE ancestor = 'ROOT' GROUP BY 1),
 tot AS (SELECT ancestor AS term, count(*) AS n FROM closure JOIN annotations USING (term) GROUP BY 1),
 ic AS (SELECT term, -ln(n::DOUBLE / (SELECT n FROM tot WHERE term = 'ROOT')) AS ic FROM tot),
-pairs AS (SELECT a.term AS a, b.term AS b FROM (SELECT DISTINCT term FROM annotations) a JOIN (SELECT DISTINCT term FROM annotations) b ON a.term <= b.term),
+pairs AS (SELECT DISTINCT least(a.term, b.term) AS a, greatest(a.term, b.term) AS b FROM (SELECT DISTINCT term FROM annotations WHERE CAST(substr(term, 2) AS INT) % 20 = 0) a, (SELECT DISTINCT term FROM annotations) b),
 shared AS (SELECT a, b, x.ancestor FROM pairs JOIN closure x ON x.term = a JOIN closure y ON y.term = b AND y.ancestor = x.ancestor),
 mica AS (SELECT a, b, greatest(max(ic), 0) AS mica FROM shared JOIN ic ON ic.term = ancestor GROUP BY 1, 2),
 s AS (SELECT m.*, x.ic AS xa, y.ic AS xb, (SELECT max(ic) FROM ic) AS top FROM mica m LEFT JOIN ic x ON x.term = a LEFT JOIN ic y ON y.term = b)"""
@@ -27,11 +28,14 @@ s AS (SELECT m.*, x.ic AS xa, y.ic AS xb, (SELECT max(ic) FROM ic) AS top FROM m
 
 
 def _data(spark, d):
+    """Edges, annotations, closure, information content, and pairs of terms: those whose number 20 divides, with all."""
     e, a = frame(spark, d, "term_edges"), frame(spark, d, "annotations")
     c = G.closure(e)
-    t = a.select("term").distinct()
-    pairs = t.select(F.col("term").alias("a")).join(t.select(F.col("term").alias("b")), F.col("a") <= F.col("b"))
-    return e, a, c, G.information_content(c, a, e), pairs
+    t = stored(a.select("term").distinct(), "terms")
+    asked = t.where("CAST(substr(term, 2) AS INT) % 20 = 0")
+    pairs = asked.select(F.col("term").alias("q")).crossJoin(t)  # every twentieth term against all
+    pairs = stored(pairs.select(F.least("q", "term").alias("a"), F.greatest("q", "term").alias("b")).distinct(), "pairs")
+    return e, a, c, stored(G.information_content(c, a, e), "ic"), pairs
 
 
 @query(f"{BASE} SELECT * FROM closure")
@@ -62,10 +66,17 @@ def induced_subgraph(spark, d):
     return G.induced(e, G.closure(e), "S7").select("child", "parent")
 
 
-@query(f"{BASE} SELECT count(DISTINCT term) AS terms, 1::BIGINT AS components FROM closure")
+@query("""WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS a, concat('r', n_nationkey % 7) AS b FROM nation UNION SELECT concat('s', s_suppkey), concat('n', s_nationkey) FROM supplier
+  UNION SELECT concat('p', p_partkey), concat('p', p_partkey // 10) FROM part WHERE p_partkey % 10 <> 0 OR p_partkey < 10),
+up AS (SELECT a, b FROM e UNION SELECT up.a, e.b FROM up JOIN e ON e.a = up.b), top AS (SELECT a AS term, b AS root FROM up WHERE b NOT IN (SELECT a FROM e WHERE a <> b) UNION SELECT b, b FROM e WHERE b NOT IN (SELECT a FROM e WHERE a <> b))
+SELECT term, min(term) OVER (PARTITION BY root) AS component FROM top""")
 def graph_components(spark, d):
-    t = G.components(frame(spark, d, "term_edges"))
-    return t.agg(F.count("*").alias("terms"), F.countDistinct("component").alias("components"))
+    """Regions' nations and suppliers, and chains of parts: a graph of many parts."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    edge = lambda a, x, b, y: (F.concat(F.lit(a), x.cast("string")).alias("child"), F.concat(F.lit(b), y.cast("string")).alias("parent"))
+    n, s, p = F.col("n_nationkey"), F.col("s_suppkey"), F.col("p_partkey")
+    e = read("nation").select(*edge("n", n, "r", n % 7)).union(read("supplier").select(*edge("s", s, "n", F.col("s_nationkey"))))
+    return G.components(e.union(read("part").where((p % 10 != 0) | (p < 10)).select(*edge("p", p, "p", F.floor(p / 10)))))
 
 
 @query(f"{BASE} SELECT term, round(ic, 9) + 0.0 AS ic FROM ic")
@@ -127,24 +138,32 @@ def pekar_staab(spark, d):
     return G.pekar_staab(e, c, p).withColumn("pekar_staab", F.round("pekar_staab", 9))
 
 
-#: Term sets of genes a0 to a24, compared in pairs of neighbours.
-_SETS = "sets AS (SELECT DISTINCT gene AS \"set\", term FROM annotations WHERE CAST(substr(gene, 2) AS INT) < 25), xy AS (SELECT concat('a', CAST(i AS VARCHAR)) AS x, concat('a', CAST(j AS VARCHAR)) AS y FROM range(25) p(i), range(25) q(j) WHERE i < j AND j <= i + 6 AND concat('a', CAST(i AS VARCHAR)) IN (SELECT \"set\" FROM sets) AND concat('a', CAST(j AS VARCHAR)) IN (SELECT \"set\" FROM sets))"
+#: Term sets of genes; every twentieth is compared with the six behind it.
+_SETS = "sets AS (SELECT DISTINCT gene AS \"set\", term FROM annotations), xy AS (SELECT x.\"set\" AS x, y.\"set\" AS y FROM (SELECT DISTINCT \"set\", CAST(substr(\"set\", 2) AS BIGINT) AS i FROM sets) x JOIN (SELECT DISTINCT \"set\", CAST(substr(\"set\", 2) AS BIGINT) AS i FROM sets) y ON x.i % 20 = 0 AND y.i > x.i AND y.i <= x.i + 6)"
+_SETS_PAIRS = "pairs AS (SELECT DISTINCT least(p.term, q.term) AS a, greatest(p.term, q.term) AS b FROM xy JOIN sets p ON p.\"set\" = x JOIN sets q ON q.\"set\" = y)"
 
 
-def _sets(spark, a):
-    s = a.where("CAST(substr(gene, 2) AS INT) < 25").select(F.col("gene").alias("set"), "term").distinct()
-    n = spark.range(25).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("x"), F.explode(F.sequence(F.col("id") + 1, F.least(F.col("id") + 6, F.lit(24).cast("long")))).alias("j")).where("j > CAST(substr(x, 2) AS INT)")
-    xy = n.select("x", F.concat(F.lit("a"), F.col("j").cast("string")).alias("y"))
-    k = s.select(F.col("set")).distinct()
-    return s, xy.join(k.withColumnRenamed("set", "x"), "x", "left_semi").join(k.withColumnRenamed("set", "y"), "y", "left_semi")
+def _sets(a):
+    s = stored(a.select(F.col("gene").alias("set"), "term").distinct(), "sets")
+    k = s.select("set").distinct().withColumn("i", F.substring("set", 2, 20).cast("long"))
+    x = k.where("i % 20 = 0").select(F.col("set").alias("x"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + 6)).alias("i"))
+    xy = stored(x.join(k.withColumnRenamed("set", "y"), "i").select("x", "y"), "xy")
+    both = xy.join(s.select(F.col("set").alias("x"), F.col("term").alias("p")), "x").join(s.select(F.col("set").alias("y"), F.col("term").alias("q")), "y")
+    return s, xy, both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-@query(f"""{BASE}, {_SETS}, lin AS (SELECT a, b, {_MEASURES['lin']} AS v FROM s UNION SELECT b, a, {_MEASURES['lin']} FROM s), t AS (SELECT x, y, p.term AS a, q.term AS b, coalesce(v, 0) AS v FROM xy JOIN sets p ON p."set" = x JOIN sets q ON q."set" = y LEFT JOIN lin ON lin.a = p.term AND lin.b = q.term),
+#: The oracle's base without the pairs that it is given for single terms.
+_FRONT, _BACK = BASE.split("pairs AS (", 1)
+_BACK = _BACK[_BACK.index("shared AS ("):]
+_BASE_SETS = f"{_FRONT}{_SETS}, {_SETS_PAIRS}, {_BACK}"
+
+
+@query(f"""{_BASE_SETS}, lin AS (SELECT a, b, {_MEASURES['lin']} AS v FROM s UNION SELECT b, a, {_MEASURES['lin']} FROM s), t AS (SELECT x, y, p.term AS a, q.term AS b, coalesce(v, 0) AS v FROM xy JOIN sets p ON p."set" = x JOIN sets q ON q."set" = y LEFT JOIN lin ON lin.a = p.term AND lin.b = q.term),
 r AS (SELECT x, y, avg(m) AS av, sum(m) AS sm, count(*) AS n FROM (SELECT x, y, a, max(v) AS m FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2), c AS (SELECT x, y, avg(m) AS av, sum(m) AS sm, count(*) AS n FROM (SELECT x, y, b, max(v) AS m FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2), o AS (SELECT x, y, avg(v) AS pa, max(v) AS pm FROM t GROUP BY 1, 2)
 SELECT x, y, round(pa, 9) AS pair_average, round(pm, 9) AS pair_maximum, round((r.av + c.av) / 2, 9) AS best_match_average, round((r.sm + c.sm) / (r.n + c.n), 9) AS average_best_match FROM o JOIN r USING (x, y) JOIN c USING (x, y)""")
 def set_similarity_lin(spark, d):
-    _, a, c, ic, p = _data(spark, d)
-    s, xy = _sets(spark, a)
+    _, a, c, ic, _ = _data(spark, d)
+    s, xy, p = _sets(a)
     t = G.set_similarity(s, xy, G.similarity(c, ic, p, ["lin"]), "lin")
     return t.select("x", "y", *[F.round(k, 9).alias(k) for k in t.columns[2:]])
 
@@ -155,7 +174,7 @@ SELECT x, y, round(coalesce(ot.n, 0)::DOUBLE / (ta.n + tb.n - coalesce(ot.n, 0))
 FROM xy JOIN z a ON a."set" = x JOIN z b ON b."set" = y JOIN zt ta ON ta."set" = x JOIN zt tb ON tb."set" = y LEFT JOIN o USING (x, y) LEFT JOIN ot USING (x, y)""")
 def set_similarity_graph(spark, d):
     _, a, c, ic, _ = _data(spark, d)
-    s, xy = _sets(spark, a)
+    s, xy, _ = _sets(a)
     t = G.graph_similarity(s, xy, c, ic)
     return t.select("x", "y", *[F.round(k, 9).alias(k) for k in t.columns[2:]])
 
@@ -163,7 +182,7 @@ def set_similarity_graph(spark, d):
 @query(f"""{BASE}, g AS (SELECT DISTINCT gene, term FROM annotations), att AS (SELECT DISTINCT gene, ancestor AS term FROM g JOIN closure USING (term)), smp AS (SELECT DISTINCT gene FROM g WHERE CAST(substr(gene, 2) AS INT) % 5 = 0),
 k AS (SELECT term, count(*) AS KK, count(CASE WHEN gene IN (SELECT gene FROM smp) THEN 1 END) AS k, (SELECT count(DISTINCT gene) FROM g) AS NN, (SELECT count(*) FROM smp) AS n FROM att GROUP BY 1),
 p AS (SELECT term, KK, k, sum(exp(lgamma(KK + 1) - lgamma(i + 1) - lgamma(KK - i + 1) + lgamma(NN - KK + 1) - lgamma(n - i + 1) - lgamma(NN - KK - n + i + 1) - lgamma(NN + 1) + lgamma(n + 1) + lgamma(NN - n + 1))) AS p
-  FROM k LEFT JOIN range(0, 201) r(i) ON i >= greatest(k, greatest(0, n + KK - NN) + 1) AND i <= least(n, KK) GROUP BY term, KK, k) SELECT term, KK AS population, k AS shared, round(CASE WHEN k = 0 THEN 1 ELSE coalesce(p, 0) END, 7) AS p FROM p""")
+  FROM k LEFT JOIN range(0, 20001) r(i) ON i >= greatest(k, greatest(0, n + KK - NN) + 1) AND i <= least(n, KK) GROUP BY term, KK, k) SELECT term, KK AS population, k AS shared, round(CASE WHEN k = 0 THEN 1 ELSE coalesce(p, 0) END, 7) AS p FROM p""")
 def enrichment_p(spark, d):
     e, a = frame(spark, d, "term_edges"), frame(spark, d, "annotations")
     t = G.enrichment(G.closure(e), a, a.where("CAST(substr(gene, 2) AS INT) % 5 = 0"))
@@ -176,16 +195,21 @@ def disjoint_common_information(spark, d):
     return G.disjoint_common(e, c, ic, p)
 
 
-@query(None)
+_OWN = "own AS (SELECT a, b, ancestor AS child, count(*) AS k FROM (SELECT a, b, ancestor FROM pairs JOIN closure ON term = a UNION ALL SELECT a, b, ancestor FROM pairs JOIN closure ON term = b) GROUP BY 1, 2, 3)"
+
+
+@query(f"""{BASE}, {_OWN}, apart AS (SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM shared s WHERE s.a = o.a AND s.b = o.b AND s.ancestor = o.child)),
+t AS (SELECT a, b, parent AS ancestor FROM apart JOIN term_edges USING (child) INTERSECT SELECT * FROM shared UNION SELECT * FROM shared WHERE ancestor = a OR ancestor = b) SELECT a, b, round(avg(ic), 9) + 0.0 AS info FROM t JOIN ic ON ic.term = ancestor GROUP BY 1, 2""")
 def frontier_information(spark, d):
     e, _, c, ic, p = _data(spark, d)
-    return G.frontier(e, c, ic, p)
+    return G.frontier(e, c, ic, p).select("a", "b", (F.round("info", 9) + 0.0).alias("info"))
 
 
-@query(None)
+@query(f"""{BASE}, {_OWN}, t AS (SELECT a, b, parent AS ancestor FROM own JOIN term_edges USING (child) WHERE k = 1 AND a <> b INTERSECT SELECT * FROM shared UNION SELECT * FROM shared WHERE a = b AND ancestor = a)
+SELECT a, b, round(avg(ic), 9) + 0.0 AS info FROM t JOIN ic ON ic.term = ancestor GROUP BY 1, 2""")
 def exclusive_inherited_information(spark, d):
     e, _, c, ic, p = _data(spark, d)
-    return G.exclusive_inherited(e, c, ic, p)
+    return G.exclusive_inherited(e, c, ic, p).select("a", "b", (F.round("info", 9) + 0.0).alias("info"))
 
 
 @query(f"{BASE} SELECT gene, count(DISTINCT term) AS terms FROM annotations GROUP BY 1")

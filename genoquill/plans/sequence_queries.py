@@ -13,15 +13,15 @@ from ..operators import trees as R
 from .fixtures import ctes, frame
 from .registry import query
 
-#: The first 120 letters of a text as nucleotides: letters of its lower case that the translation names, others dropped.
+#: A whole text as nucleotides: letters of its lower case that the translation names, others dropped.
 _FROM, _TO = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
-SEQ = f"WITH seqs AS (SELECT doc_id, substr(regexp_replace(translate(lower(coalesce(text, '')), '{_FROM}', '{_TO}'), '[^ACGT]', '', 'g'), 1, 120) AS s FROM documents)"
+SEQ = f"WITH seqs AS (SELECT doc_id, regexp_replace(translate(lower(coalesce(text, '')), '{_FROM}', '{_TO}'), '[^ACGT]', '', 'g') AS s FROM documents)"
 
 
 def sequences(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet")
     s = F.regexp_replace(F.translate(F.lower(F.coalesce("text", F.lit(""))), _FROM, _TO), "[^ACGT]", "")
-    return t.select("doc_id", F.substring(s, 1, 120).alias("s"))
+    return t.select("doc_id", s.alias("s"))
 
 
 @query(f"{SEQ} SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, CAST(length(s) - length(replace(s, 'A', '')) AS BIGINT) AS a, CAST((length(s) - length(replace(s, 'CG', ''))) // 2 AS BIGINT) AS cg FROM seqs")
@@ -39,13 +39,17 @@ def alphabet_entropy(spark, d):
     return sequences(spark, d).select("doc_id", F.round(S.entropy("s"), 9).alias("entropy"))
 
 
-@query(f"{SEQ} SELECT doc_id, CAST((SELECT count(*) FROM range(0, greatest(length(s) - 3, 0)) r(i) WHERE substr(s, CAST(i + 1 AS INT), 3) = 'ACA') AS BIGINT) AS kmers, CAST(length(regexp_extract_all(s, 'TG[CT][ACGT]A'))  AS BIGINT) AS motifs FROM seqs")
+#: Windows ACA: the places of AC that an A follows, without one at the very end.
+_ACA = "len(list_filter(string_split(s, 'AC'), lambda e, i: i > 1 AND (starts_with(e, 'A') OR e = '' AND i < len(string_split(s, 'AC'))))) - CAST(s LIKE '%ACA' AS INT)"
+
+
+@query(f"{SEQ} SELECT doc_id, CAST({_ACA} AS BIGINT) AS kmers, CAST(length(regexp_extract_all(s, 'TG[CT][ACGT]A'))  AS BIGINT) AS motifs FROM seqs")
 def kmers_and_motifs(spark, d):
     return sequences(spark, d).select("doc_id", S.kmer_count("s", "ACA").alias("kmers"), S.motif_count("s", "TGYNA").alias("motifs"))
 
 
-_CODES = ", ".join(f"('{k}', '{v}')" for k, v in S.codon_table(1).items())
-_PROT = f"codes(c, aa) AS (VALUES {_CODES}), p AS (SELECT doc_id, s, coalesce((SELECT string_agg(aa, '' ORDER BY i) FROM range(0, length(s) // 3) r(i) JOIN codes ON c = substr(s, CAST(3 * i + 1 AS INT), 3)), '') AS protein FROM seqs)"
+_CODES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.codon_table(1).items()) + "}"
+_PROT = f"p AS (SELECT doc_id, s, array_to_string(list_transform(regexp_extract_all(s, '...'), lambda c: ({_CODES})[c]), '') AS protein FROM seqs)"
 
 
 @query(f"{SEQ}, {_PROT} SELECT doc_id, protein, CAST(CASE WHEN strpos(protein, '*') > 0 THEN strpos(protein, '*') - 1 ELSE length(protein) END AS BIGINT) AS stop FROM p")
@@ -54,28 +58,34 @@ def translation(spark, d):
     return t.select("doc_id", "protein", S.first_stop("protein").alias("stop"))
 
 
-_HEAD = "(SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'ATG' ELSE '' END, substr(s, 1, CAST(30 + doc_id % 4 AS INT)), CASE WHEN doc_id % 2 = 0 THEN 'TAA' ELSE '' END) AS s FROM seqs)"
+_HEAD = "(SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'ATG' ELSE '' END, s, CASE WHEN doc_id % 2 = 0 THEN 'TAA' ELSE '' END) AS s FROM seqs)"
 
 
 @query(f"""{SEQ}, {_PROT.replace('FROM seqs)', 'FROM ' + _HEAD + ' q)')}, v AS (SELECT CASE WHEN length(s) % 3 <> 0 OR length(s) = 0 THEN 'NOT_MOD3' WHEN substr(protein, 1, 1) <> 'M' THEN 'NO_START' WHEN strpos(protein, '*') > 0 AND strpos(protein, '*') - 1 < length(protein) - 1 THEN 'NONSENSE' WHEN right(protein, 1) <> '*' THEN 'NO_STOP' ELSE 'VALID' END AS code FROM p) SELECT code, count(*) AS n FROM v GROUP BY 1""")
 def protein_validity(spark, d):
     t = sequences(spark, d)
-    s = F.concat(F.when(F.col("doc_id") % 3 == 0, "ATG").otherwise(""), F.substring("s", F.lit(1), (30 + F.col("doc_id") % 4).cast("int")), F.when(F.col("doc_id") % 2 == 0, "TAA").otherwise(""))
+    s = F.concat(F.when(F.col("doc_id") % 3 == 0, "ATG").otherwise(""), F.col("s"), F.when(F.col("doc_id") % 2 == 0, "TAA").otherwise(""))
     return t.select(S.validity(s).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query(f"{SEQ} SELECT a.doc_id AS a, b.doc_id AS b, CAST(levenshtein(substr(a.s, 1, 40), substr(b.s, 1, 40)) AS BIGINT) AS distance FROM seqs a JOIN seqs b ON a.doc_id < b.doc_id AND b.doc_id < a.doc_id + 4")
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND b.p_partkey < a.p_partkey + 4")
 def edit_distance_pairs(spark, d):
-    t = sequences(spark, d)
-    near = t.select(F.col("doc_id").alias("a"), F.substring("s", 1, 40).alias("x"), F.explode(F.array(*[F.col("doc_id") + k for k in (1, 2, 3)])).alias("b"))
-    return near.join(t.select(F.col("doc_id").alias("b"), F.substring("s", 1, 40).alias("y")), "b").select("a", "b", F.levenshtein("x", "y").cast("long").alias("distance"))
+    t = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
+    near = t.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), F.explode(F.array(*[F.col("p_partkey") + k for k in (1, 2, 3)])).alias("b"))
+    return near.join(t.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y")), "b").select("a", "b", F.levenshtein("x", "y").cast("long").alias("distance"))
 
 
-@query(None)
+@query(
+    """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN length(a.p_name) <= length(b.p_type) THEN a.p_name ELSE b.p_type END AS s, CASE WHEN length(a.p_name) <= length(b.p_type) THEN b.p_type ELSE a.p_name END AS l
+  FROM (SELECT p_partkey, upper(p_name) AS p_name FROM part) a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+u AS (SELECT DISTINCT s, l FROM p), c AS (SELECT s, l, substr(l, CAST(i AS INT), CAST(k AS INT)) AS x FROM u, range(1, 40) r(i), range(0, 40) q(k) WHERE i + k <= length(l) + 1), m AS (SELECT s, l, min(levenshtein(s, x)) AS distance FROM c GROUP BY 1, 2)
+SELECT a, b, distance FROM p JOIN m USING (s, l)"""
+)
 def local_edit_distance(spark, d):
-    t = sequences(spark, d)
-    near = t.select(F.col("doc_id").alias("a"), "s", (F.col("doc_id") + 1).alias("b"))
-    return near.join(t.select(F.col("doc_id").alias("b"), F.substring("s", 20, 30).alias("y")), "b").select("a", "b", S.local_distance("s", "y").alias("distance"))
+    """The name of each part against the type of the next one."""
+    t = spark.read.parquet(f"{d}/part.parquet")
+    near = t.select(F.col("p_partkey").alias("a"), F.upper("p_name").alias("x"), (F.col("p_partkey") + 1).alias("b"))
+    return near.join(t.select(F.col("p_partkey").alias("b"), F.col("p_type").alias("y")), "b").select("a", "b", S.local_distance("x", "y").alias("distance"))
 
 
 @query(None)
@@ -103,12 +113,12 @@ def binomial_values(spark, d):
     return t.select("k", F.round(T.binomial_pdf(F.col("k"), F.lit(10), F.lit(0.3)), 8).alias("p"))
 
 
-_LOCI = "loci AS (SELECT contig_id, pos, avg(af) AS f FROM variants WHERE af > 0.05 AND af < 0.95 AND pos % 8 = 0 GROUP BY 1, 2), g AS (SELECT genome_id, contig_id, pos, count(*) AS n FROM variants GROUP BY 1, 2, 3), o AS (SELECT s.genome_id, l.contig_id, l.pos, f, coalesce(n, 0) AS n FROM loci l CROSS JOIN (SELECT DISTINCT genome_id FROM variants) s LEFT JOIN g ON g.genome_id = s.genome_id AND g.contig_id = l.contig_id AND g.pos = l.pos)"
+_LOCI = "loci AS (SELECT contig_id, pos, avg(af) AS f FROM variants WHERE af > 0.05 AND af < 0.95 GROUP BY 1, 2), g AS (SELECT genome_id, contig_id, pos, count(*) AS n FROM variants GROUP BY 1, 2, 3), o AS (SELECT s.genome_id, l.contig_id, l.pos, f, coalesce(n, 0) AS n FROM loci l CROSS JOIN (SELECT DISTINCT genome_id FROM variants) s LEFT JOIN g ON g.genome_id = s.genome_id AND g.contig_id = l.contig_id AND g.pos = l.pos)"
 
 
 def _observed(spark, d):
     v = frame(spark, d, "variants")
-    loci = v.where("af > 0.05 AND af < 0.95 AND pos % 8 = 0").groupBy("contig_id", "pos").agg(F.avg("af").alias("f"))
+    loci = v.where("af > 0.05 AND af < 0.95").groupBy("contig_id", "pos").agg(F.avg("af").alias("f"))
     return B.observe(loci, v)
 
 
@@ -135,7 +145,7 @@ def inbreeding_likelihood(spark, d):
 @query(ctes("variants") + f", {_LOCI} SELECT contig_id, round(avg(f * f), 9) AS hom, round(avg(2 * f * (1 - f)), 9) AS het, count(*) AS loci FROM loci GROUP BY 1")
 def class_frequencies(spark, d):
     v = frame(spark, d, "variants")
-    loci = v.where("af > 0.05 AND af < 0.95 AND pos % 8 = 0").groupBy("contig_id", "pos").agg(F.avg("af").alias("f"))
+    loci = v.where("af > 0.05 AND af < 0.95").groupBy("contig_id", "pos").agg(F.avg("af").alias("f"))
     k = B.class_frequencies(F.col("f"))
     return loci.groupBy("contig_id").agg(F.round(F.avg(k["minor_homozygous"]), 9).alias("hom"), F.round(F.avg(k["heterozygous"]), 9).alias("het"), F.count("*").alias("loci"))
 
@@ -143,35 +153,35 @@ def class_frequencies(spark, d):
 @query(None)
 def synthetic_population(spark, d):
     v = frame(spark, d, "variants")
-    loci = v.where("af > 0.05 AND af < 0.95 AND pos % 8 = 0").groupBy("contig_id", "pos").agg(F.avg("af").alias("f"))
+    loci = v.where("af > 0.05 AND af < 0.95").groupBy("contig_id", "pos").agg(F.avg("af").alias("f"))
     return B.synthetic(loci, [0.0, 0.25, 0.5], per_value=3, seed=11)
 
 
-_VEC = "v AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id < 40)"
+_VEC = "v AS (SELECT vec_id AS id, embedding AS e FROM embeddings)"
 
 
 @query(f"WITH {_VEC} SELECT a.id AS i, b.id AS j, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))), 6) AS d FROM v a JOIN v b ON a.id > b.id")
 def distance_matrix(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40")
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
     return R.euclidean(v, "vec_id", "embedding").withColumn("d", F.round("d", 6))
 
 
 @query(f"WITH {_VEC}, m AS (SELECT a.id AS i, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))) AS d FROM v a JOIN v b ON a.id <> b.id), r AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM m) SELECT i, j AS nearest, round(d / (SELECT max(d) FROM m), 6) AS d FROM r WHERE k = 1")
 def nearest_neighbour(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40")
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
     return R.nearest(R.normalise(R.euclidean(v, "vec_id", "embedding"))).withColumn("d", F.round("d", 6))
 
 
 @query(None)
 def upgma_heights(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40")
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
     return R.upgma(R.euclidean(v, "vec_id", "embedding"))
 
 
 @query(None)
 def transcript_mutation(spark, d):
     """Six genes of every contig spliced, mutated by each genome's variants, translated and checked."""
-    v = frame(spark, d, "variants").where("CAST(substr(genome_id, 2) AS INT) < 12")
+    v = frame(spark, d, "variants")
     base = F.concat(*[F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), (F.lit(i) * 7 + 3) % 4 + 1) for i in range(16)])
     contigs = v.select("contig_id").distinct().select("contig_id", F.repeat(base, 26).alias("sequence"))
     genes = contigs.select("contig_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).select(F.concat("contig_id", F.lit(":"), "k").alias("transcript"), "contig_id", F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("strand"), F.array(F.struct((F.col("k") * 60 + 3).cast("long").alias("lower"), (F.col("k") * 60 + 24).cast("long").alias("upper")), F.struct((F.col("k") * 60 + 33).cast("long").alias("lower"), (F.col("k") * 60 + 51).cast("long").alias("upper"))).alias("exons"))

@@ -145,7 +145,10 @@ def coding_homozygous(spark, d):
     return P.coding(variants(spark, d), "homozygous").select(*LOOK)
 
 
-@query(None)
+@query(f"""{VAR}, {_INTERVAL}, o AS (SELECT *, row_number() OVER (PARTITION BY genome_id, contig_id ORDER BY pos, vcf_line, part, supp) AS rn FROM m), del AS (SELECT genome_id, contig_id, rn, lo, up FROM o WHERE kind = 'DELETE' AND up > lo),
+walk AS (SELECT genome_id, contig_id, min(rn) AS rn, arg_min(up, rn) AS up FROM del GROUP BY 1, 2 UNION ALL
+  SELECT w.genome_id, w.contig_id, min(d.rn), arg_min(d.up, d.rn) FROM walk w JOIN del d ON d.genome_id = w.genome_id AND d.contig_id = w.contig_id AND d.rn > w.rn AND d.lo >= w.up GROUP BY 1, 2),
+k AS (SELECT o.*, max(w.up) OVER (PARTITION BY o.genome_id, o.contig_id ORDER BY o.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS till FROM o LEFT JOIN walk w USING (genome_id, contig_id, rn)) SELECT {SHOW} FROM k WHERE till IS NULL OR lo >= till""")
 def upstream_delete_filter(spark, d):
     return O.upstream_deletes(variants(spark, d)).select(*LOOK)
 
@@ -178,10 +181,10 @@ def unique_variants(spark, d):
     return A.unique_variants(variants(spark, d), ("vcf_line", "part", "supp", "genome_id")).select("hgvs", *LOOK)
 
 
-@query(f"{VAR}, g AS (SELECT DISTINCT genome_id FROM variants), c AS (SELECT DISTINCT contig_id FROM variants) SELECT g.genome_id, c.contig_id, count(v.pos) AS n FROM g CROSS JOIN c LEFT JOIN (SELECT * FROM variants WHERE pos < 40) v ON v.genome_id = g.genome_id AND v.contig_id = c.contig_id GROUP BY 1, 2")
+@query(f"{VAR}, g AS (SELECT DISTINCT genome_id FROM variants), c AS (SELECT DISTINCT contig_id FROM variants) SELECT g.genome_id, c.contig_id, count(v.pos) AS n FROM g CROSS JOIN c LEFT JOIN variants v ON v.genome_id = g.genome_id AND v.contig_id = c.contig_id GROUP BY 1, 2")
 def square_contigs(spark, d):
     t = variants(spark, d)
-    n = A.square(t).select("genome_id", "contig_id").join(t.where("pos < 40").groupBy("genome_id", "contig_id").agg(F.count("*").alias("n")), ["genome_id", "contig_id"], "left")
+    n = A.square(t).select("genome_id", "contig_id").join(t.groupBy("genome_id", "contig_id").agg(F.count("*").alias("n")), ["genome_id", "contig_id"], "left")
     return n.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -229,25 +232,25 @@ def singleton_variants(spark, d):
     return A.singletons(variants(spark, d))
 
 
-_GROUPS = f"u AS (SELECT contig_id, genome_id, md5(string_agg(h, '|' ORDER BY h)) AS genotype FROM (SELECT DISTINCT contig_id, genome_id, {HGVS} AS h FROM variants WHERE pos % 40 = 3 AND {SNP} AND supp % 2 = 0) GROUP BY 1, 2), q AS (SELECT contig_id, genotype, count(*) AS genomes FROM u GROUP BY 1, 2)"
+_GROUPS = f"u AS (SELECT contig_id, pos, genome_id, md5(string_agg(h, '|' ORDER BY h)) AS genotype FROM (SELECT DISTINCT contig_id, pos, genome_id, {HGVS} AS h FROM variants) GROUP BY 1, 2, 3), q AS (SELECT contig_id, pos, genotype, count(*) AS genomes FROM u GROUP BY 1, 2, 3)"
 
 
 def _groups(spark, d):
-    return A.genotype_groups(variants(spark, d).where((F.col("pos") % 40 == 3) & V.is_snp() & (F.col("supp") % 2 == 0)), ["contig_id"])
+    return A.genotype_groups(variants(spark, d), ["contig_id", "pos"])
 
 
-@query(f"{VAR}, {_GROUPS} SELECT * FROM q")
+@query(f"{VAR}, {_GROUPS} SELECT contig_id, pos, genomes, count(*) AS genotypes FROM q GROUP BY 1, 2, 3")
 def genotype_groups(spark, d):
-    return _groups(spark, d)
+    return _groups(spark, d).groupBy("contig_id", "pos", "genomes").agg(F.countDistinct("genotype").alias("genotypes"))
 
 
-@query(f"""{VAR}, {_GROUPS}, r AS (SELECT * FROM q UNION ALL SELECT contig_id, '', 60 - CAST(sum(genomes) AS BIGINT) FROM q GROUP BY contig_id),
-p AS (SELECT a.contig_id, sum(abs(a.genomes - b.genomes)) / 2 AS gap FROM r a JOIN r b ON a.contig_id = b.contig_id GROUP BY 1),
-s AS (SELECT contig_id, count(*) AS k, sum(genomes) AS n, sum(CASE WHEN genomes > 0 THEN -(genomes / 60.0::DOUBLE) * log2(genomes / 60.0::DOUBLE) ELSE 0 END) AS h, sum((genomes / 60.0::DOUBLE) * (genomes / 60.0::DOUBLE)) AS p2 FROM r GROUP BY 1)
-SELECT s.contig_id, k, round(1 - gap::DOUBLE / (n * (k - 1)), 9) AS gini, round(h / log2(k), 9) AS hrel, round(k::DOUBLE / (k - 1) * (1 - p2 * 0.0001::DOUBLE), 9) AS iqv FROM s JOIN p ON p.contig_id = s.contig_id""")
+@query(f"""{VAR}, {_GROUPS}, r AS (SELECT * FROM q UNION ALL SELECT contig_id, pos, '', 60 - CAST(sum(genomes) AS BIGINT) FROM q GROUP BY 1, 2),
+p AS (SELECT a.contig_id, a.pos, sum(abs(a.genomes - b.genomes)) / 2 AS gap FROM r a JOIN r b ON a.contig_id = b.contig_id AND a.pos = b.pos GROUP BY 1, 2),
+s AS (SELECT contig_id, pos, count(*) AS k, sum(genomes) AS n, sum(CASE WHEN genomes > 0 THEN -(genomes / 60.0::DOUBLE) * log2(genomes / 60.0::DOUBLE) ELSE 0 END) AS h, sum((genomes / 60.0::DOUBLE) * (genomes / 60.0::DOUBLE)) AS p2 FROM r GROUP BY 1, 2)
+SELECT s.contig_id, s.pos, k, round(1 - gap::DOUBLE / (n * (k - 1)), 9) AS gini, round(h / log2(k), 9) AS hrel, round(k::DOUBLE / (k - 1) * (1 - p2 * 0.0001::DOUBLE), 9) AS iqv FROM s JOIN p ON p.contig_id = s.contig_id AND p.pos = s.pos""")
 def gini_hrel_iqv(spark, d):
-    t = A.diversity(_groups(spark, d), 60, ["contig_id"])
-    return t.select("contig_id", "k", *[F.round(c, 9).alias(c) for c in ("gini", "hrel", "iqv")])
+    t = A.diversity(_groups(spark, d), 60, ["contig_id", "pos"])
+    return t.select("contig_id", "pos", "k", *[F.round(c, 9).alias(c) for c in ("gini", "hrel", "iqv")])
 
 
 @query(f"{VAR} SELECT DISTINCT gene, {HGVS} AS hgvs FROM variants WHERE gene LIKE 'ENSG%'")
@@ -290,18 +293,18 @@ def threshold_sweep(spark, d):
     return A.sweep(variants(spark, d), "af", [0.1, 0.5, 0.9], ["contig_id"])
 
 
-@query(f"""{VAR}, l AS (SELECT contig_id, pos, count(*) AS n, count(CASE WHEN {SNP} THEN 1 END) AS s, count(CASE WHEN {SNP} AND concat(least(ref, alt), greatest(ref, alt)) IN ('AG', 'CT') THEN 1 END) AS ti FROM variants WHERE pos NOT BETWEEN 200 AND 260 GROUP BY 1, 2),
+@query(f"""{VAR}, l AS (SELECT contig_id, pos, count(*) AS n, count(CASE WHEN {SNP} THEN 1 END) AS s, count(CASE WHEN {SNP} AND concat(least(ref, alt), greatest(ref, alt)) IN ('AG', 'CT') THEN 1 END) AS ti FROM variants GROUP BY 1, 2),
 t AS (SELECT contig_id, pos // 50 AS tile, sum(n) AS variants, sum(s) AS snps, sum(ti) AS transitions, sum(s - ti) AS transversions, {', '.join(f'count(CASE WHEN n {"=" if k < 5 else ">="} {k} THEN 1 END) AS loci_{k}' for k in range(1, 6))} FROM l GROUP BY 1, 2)
 SELECT c.contig_id, g.tile, CAST(coalesce(variants, 0) AS BIGINT) AS variants, CAST(coalesce(snps, 0) AS BIGINT) AS snps, CAST(coalesce(transitions, 0) AS BIGINT) AS transitions, CAST(coalesce(transversions, 0) AS BIGINT) AS transversions, {', '.join(f'coalesce(loci_{k}, 0) AS loci_{k}' for k in range(1, 6))}
 FROM (SELECT DISTINCT contig_id FROM variants) c CROSS JOIN (SELECT range AS tile FROM range(9)) g LEFT JOIN t ON t.contig_id = c.contig_id AND t.tile = g.tile""")
 def tile_stats(spark, d):
-    return A.tiles(variants(spark, d).where("pos NOT BETWEEN 200 AND 260"), 50, 420)
+    return A.tiles(variants(spark, d), 50, 420)
 
 
-@query(f"""{VAR}, u AS (SELECT DISTINCT contig_id, pos, pos // 50 AS tile FROM variants WHERE pos % 3 <> 0), l AS (SELECT *, pos - coalesce(lag(pos) OVER (PARTITION BY contig_id, tile ORDER BY pos), tile * 50 - 1) AS gap FROM u),
-g AS (SELECT contig_id, tile, count(*) AS n, max(gap) AS m, sum(gap) AS s, (tile + 1) * 50 - 1 - max(pos) AS tail FROM l GROUP BY 1, 2) SELECT contig_id, tile, n, greatest(m, tail) AS max_gap, (s + tail)::DOUBLE / (n + 1) AS mean_gap FROM g""")
+@query(f"""{VAR}, u AS (SELECT DISTINCT contig_id, vcf_line AS pos, vcf_line // 5000 AS tile FROM variants), l AS (SELECT *, pos - coalesce(lag(pos) OVER (PARTITION BY contig_id, tile ORDER BY pos), tile * 5000 - 1) AS gap FROM u),
+g AS (SELECT contig_id, tile, count(*) AS n, max(gap) AS m, sum(gap) AS s, (tile + 1) * 5000 - 1 - max(pos) AS tail FROM l GROUP BY 1, 2) SELECT contig_id, tile, n, greatest(m, tail) AS max_gap, (s + tail)::DOUBLE / (n + 1) AS mean_gap FROM g""")
 def tile_gaps(spark, d):
-    return O.tile_gaps(variants(spark, d).where("pos % 3 <> 0"), 50)
+    return O.tile_gaps(variants(spark, d).withColumn("pos", F.col("vcf_line")), 5000)
 
 
 @query(f"{VAR} SELECT contig_id, count(CASE WHEN concat(least(ref, alt), greatest(ref, alt)) IN ('AG', 'CT') THEN 1 END)::DOUBLE / nullif(count(CASE WHEN concat(least(ref, alt), greatest(ref, alt)) NOT IN ('AG', 'CT') THEN 1 END), 0) AS titv FROM variants WHERE {SNP} GROUP BY 1")
@@ -316,14 +319,12 @@ _GENE_JOIN = f"{ctes('variants', 'genes')}, {_INTERVAL}, {_MEMBER}, j AS (SELECT
 
 @query(f"{_GENE_JOIN} SELECT gene_id, count(*) AS n, count(DISTINCT genome_id) AS genomes FROM j GROUP BY gene_id")
 def interval_join_genes(spark, d):
-    t = J.gene_variants(variants(spark, d), frame(spark, d, "genes"))
-    return t.groupBy(F.col("r_gene_id").alias("gene_id")).agg(F.count("*").alias("n"), F.countDistinct("genome_id").alias("genomes"))
+    return J.gene_carriers(variants(spark, d), frame(spark, d, "genes")).select("gene_id", "n", "genomes")
 
 
 @query(f"{_GENE_JOIN}, t AS (SELECT gene_id, genome_id, {HGVS} AS h, count(*) AS n FROM j GROUP BY 1, 2, 3), u AS (SELECT gene_id, genome_id, max(n) AS n FROM t GROUP BY 1, 2) SELECT gene_id, count(*) AS genomes, count(CASE WHEN n > 1 THEN 1 END) AS homozygous_genomes FROM u GROUP BY 1")
 def gene_carriers(spark, d):
-    t = J.gene_variants(variants(spark, d), frame(spark, d, "genes"))
-    return A.gene_carriers(t, "r_gene_id").withColumnRenamed("r_gene_id", "gene_id")
+    return J.gene_carriers(variants(spark, d), frame(spark, d, "genes")).select("gene_id", "genomes", "homozygous_genomes")
 
 
 _NEAR = "p AS (SELECT DISTINCT city, lat, lon FROM samples), r AS (SELECT a.city, b.city AS other, CASE WHEN a.city = b.city THEN 0 ELSE acos(greatest(least(sin(radians(a.lat)) * sin(radians(b.lat)) + cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(a.lon - b.lon)), 1), -1)) * 6371 END AS km FROM p a, p b)"
@@ -349,18 +350,27 @@ def proximity_genes(spark, d):
     return t.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("at") - F.col("near_at"))).cast("long").alias("apart"))
 
 
-@query(ctes("genes") + """, o AS (SELECT contig_id, lower, upper, max(upper) OVER (PARTITION BY contig_id ORDER BY lower, upper ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM genes WHERE CAST(substr(gene_id, 2) AS BIGINT) % 23 = 0),
+#: Genes laid out in a row, so that some overlap and some leave gaps.
+_WIDE = ", wide AS (SELECT contig_id, CAST(substr(gene_id, 2) AS BIGINT) * 8 AS lower, CAST(substr(gene_id, 2) AS BIGINT) * 8 + upper - lower AS upper FROM genes)"
+
+
+def _wide(spark, d):
+    at = F.substring("gene_id", 2, 20).cast("long") * 8
+    return frame(spark, d, "genes").select("contig_id", at.alias("lower"), (at + F.col("upper") - F.col("lower")).alias("upper"))
+
+
+@query(ctes("genes") + _WIDE + """, o AS (SELECT contig_id, lower, upper, max(upper) OVER (PARTITION BY contig_id ORDER BY lower, upper ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lower > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig_id ORDER BY lower, upper) AS island FROM o) SELECT contig_id, min(lower) AS lower, max(upper) AS upper FROM i GROUP BY contig_id, island""")
 def interval_union(spark, d):
-    g = frame(spark, d, "genes").where("CAST(substr(gene_id, 2) AS BIGINT) % 23 = 0")
+    g = _wide(spark, d)
     return I.simplify(g, ["contig_id"])
 
 
-@query(ctes("genes") + """, o AS (SELECT contig_id, lower, upper, max(upper) OVER (PARTITION BY contig_id ORDER BY lower, upper ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM genes WHERE CAST(substr(gene_id, 2) AS BIGINT) % 31 = 0),
+@query(ctes("genes") + _WIDE + """, o AS (SELECT contig_id, lower, upper, max(upper) OVER (PARTITION BY contig_id ORDER BY lower, upper ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lower > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig_id ORDER BY lower, upper) AS island FROM o), u AS (SELECT contig_id, min(lower) AS lower, max(upper) AS upper FROM i GROUP BY contig_id, island),
 g AS (SELECT contig_id, upper AS lower, lead(lower) OVER (PARTITION BY contig_id ORDER BY lower) AS upper FROM u) SELECT * FROM g WHERE upper > lower""")
 def intron_gaps(spark, d):
-    g = frame(spark, d, "genes").where("CAST(substr(gene_id, 2) AS BIGINT) % 31 = 0")
+    g = _wide(spark, d)
     return I.gaps(I.simplify(g, ["contig_id"]), ["contig_id"])
 
 
@@ -390,9 +400,11 @@ def geq_count(spark, d):
     return O.geq_count(variants(spark, d), "dp", 51, ["contig_id"])
 
 
-@query(None)
+@query(f"""{VAR}, loci AS (SELECT contig_id, pos, avg(af) AS af FROM variants WHERE af >= 0.1 AND af <= 0.9 GROUP BY 1, 2), walk AS (SELECT contig_id, min(pos) AS pos FROM loci GROUP BY 1
+  UNION ALL SELECT w.contig_id, (SELECT min(l.pos) FROM loci l WHERE l.contig_id = w.contig_id AND l.pos >= w.pos + 7) FROM walk w WHERE EXISTS (SELECT 1 FROM loci l WHERE l.contig_id = w.contig_id AND l.pos >= w.pos + 7))
+SELECT contig_id, pos, round(af, 9) AS af FROM walk JOIN loci USING (contig_id, pos)""")
 def spaced_loci(spark, d):
-    return O.spaced_loci(variants(spark, d), 7, 0.1, 0.9)
+    return O.spaced_loci(variants(spark, d), 7, 0.1, 0.9).withColumn("af", F.round("af", 9))
 
 
 @query(f"{VAR} SELECT contig_id, CAST(sum(s) AS BIGINT) AS shift_sum, count(*) AS n FROM (SELECT contig_id, coalesce(sum(length(alt) - length(ref)) OVER (PARTITION BY genome_id, contig_id ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM variants) GROUP BY 1")
@@ -400,21 +412,21 @@ def offset_shift(spark, d):
     return O.cumulative_shift(variants(spark, d)).groupBy("contig_id").agg(F.sum("shift").alias("shift_sum"), F.count("*").alias("n"))
 
 
-@query(f"{VAR} SELECT contig_id, pos, pos - lag(pos) OVER (PARTITION BY contig_id ORDER BY pos) AS gap FROM (SELECT DISTINCT contig_id, pos FROM variants WHERE pos % 7 = 0)")
+@query(f"{VAR} SELECT contig_id, pos, pos - lag(pos) OVER (PARTITION BY contig_id ORDER BY pos) AS gap FROM (SELECT DISTINCT contig_id, vcf_line AS pos FROM variants)")
 def gap_to_previous(spark, d):
-    return O.gap_to_previous(variants(spark, d).where("pos % 7 = 0"))
+    return O.gap_to_previous(variants(spark, d).withColumn("pos", F.col("vcf_line")))
 
 
-@query(ctes("variants", "citations") + ", c AS (SELECT concat('rs', CAST(cited_by % 400 AS VARCHAR)) AS rsid, pmid FROM citations WHERE pmid < 60), i AS (SELECT DISTINCT identifier FROM variants WHERE identifier <> '') SELECT identifier, count(DISTINCT pmid) AS pmids, CAST(coalesce(sum(DISTINCT pmid), 0) AS BIGINT) AS pmid_sum FROM i LEFT JOIN c ON c.rsid = i.identifier GROUP BY 1")
+@query(ctes("variants", "citations") + ", c AS (SELECT concat('rs', CAST(cited_by % 400 AS VARCHAR)) AS rsid, pmid FROM citations), i AS (SELECT DISTINCT identifier FROM variants WHERE identifier <> '') SELECT identifier, count(DISTINCT pmid) AS pmids, CAST(coalesce(sum(DISTINCT pmid), 0) AS BIGINT) AS pmid_sum FROM i LEFT JOIN c ON c.rsid = i.identifier GROUP BY 1")
 def citation_join(spark, d):
-    c = frame(spark, d, "citations").where("pmid < 60").select(F.concat(F.lit("rs"), (F.col("cited_by") % 400).cast("string")).alias("rsid"), "pmid")
+    c = frame(spark, d, "citations").select(F.concat(F.lit("rs"), (F.col("cited_by") % 400).cast("string")).alias("rsid"), "pmid")
     t = J.citation_join(variants(spark, d), c)
     return t.select("identifier", F.size("pmids").cast("long").alias("pmids"), F.aggregate("pmids", F.lit(0).cast("long"), lambda a, x: a + x).alias("pmid_sum"))
 
 
-@query(f"{VAR} SELECT genome_id, avg(dp) AS mean, coalesce(stddev_samp(dp), 0) AS sd FROM variants WHERE pos = 17 GROUP BY 1")
+@query(f"{VAR} SELECT genome_id, avg(dp) AS mean, coalesce(stddev_samp(dp), 0) AS sd FROM variants GROUP BY 1")
 def mean_and_deviation(spark, d):
-    return A.mean_sd(variants(spark, d).where("pos = 17"), "dp", ["genome_id"])
+    return A.mean_sd(variants(spark, d), "dp", ["genome_id"])
 
 
 @query(f"{VAR} SELECT genome_id, count(*) AS n FROM variants GROUP BY 1 ORDER BY n DESC, genome_id LIMIT 10")

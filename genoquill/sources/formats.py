@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,24 +20,37 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def bgzf_blocks(data: bytes) -> Iterator[bytes]:
+    """The unpacked blocks of block-gzip bytes. Each block's header tells its size, so a block is cut out by its place; ValueError for a broken one."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if bytes(view[at : at + 4]) != b"\x1f\x8b\x08\x04":
+            raise ValueError("not a block")
+        extra, end = int.from_bytes(view[at + 10 : at + 12], "little"), 0
+        k = at + 12
+        while k < at + 12 + extra:
+            size = int.from_bytes(view[k + 2 : k + 4], "little")
+            if bytes(view[k : k + 2]) == b"BC":
+                end = at + int.from_bytes(view[k + 4 : k + 4 + size], "little") + 1
+            k += 4 + size
+        if not at < end <= len(view):
+            raise ValueError("truncated block")
+        try:
+            yield zlib.decompress(view[at:end], 31)
+        except zlib.error as e:
+            raise ValueError("broken block") from e
+        at = end
+
+
 def bgzf_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of block-gzip files of any name: the blocks are gzip members, unpacked one by one; lines may span blocks."""
-    import zlib
-    from collections.abc import Iterator
-
-    import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                data, left, out, size = content.as_py(), b"", [], 0
-                while data:
-                    unpack = zlib.decompressobj(31)
-                    text = left + unpack.decompress(data)
-                    if not unpack.eof:
-                        raise ValueError("truncated block")
-                    data = unpack.unused_data
-                    *whole, left = text.split(b"\n")
+                left, out, size = b"", [], 0
+                for text in bgzf_blocks(content.as_buffer()):
+                    *whole, left = (left + text).split(b"\n")
                     out += whole
                     size += len(text)
                     if size > 1 << 22:
@@ -51,27 +66,19 @@ def bgzf_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def bgzf_verify(data: bytes) -> dict:
     """Blocks, bytes and whether the end marker (an empty block) is there; ValueError for a broken block."""
-    import zlib
-
     blocks = size = last = 0
-    while data:
-        if data[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError("not a block")
-        unpack = zlib.decompressobj(31)
-        try:
-            last = len(unpack.decompress(data))
-        except zlib.error as e:
-            raise ValueError("broken block") from e
-        if not unpack.eof:
-            raise ValueError("truncated block")
-        data, blocks, size = unpack.unused_data, blocks + 1, size + last
+    for text in bgzf_blocks(data):
+        blocks, last = blocks + 1, len(text)
+        size += last
     return {"blocks": blocks, "bytes": size, "end_marker": blocks > 0 and last == 0}
 
 
 def vcf_header(spark: SparkSession, path: str) -> dict:
-    """info (id -> number, type, description), contigs (id -> length) and samples of a header: the # lines only go to the driver."""
+    """info (id -> number, type, description), contigs (id -> length) and samples of a header: lines go to the driver, partition by partition, up to the first record."""
     info, contigs, samples = {}, {}, []
-    for row in lines(spark, path).where(F.startswith("value", F.lit("#"))).collect():
+    for row in lines(spark, path).toLocalIterator():
+        if not row.value.startswith("#"):
+            break  # the header stands in front of the records
         if row.value.startswith("#CHROM"):
             samples = row.value.split("\t")[9:]
         elif m := _META.match(row.value):
@@ -106,9 +113,9 @@ def vcf_records(spark: SparkSession, path: str) -> DataFrame:
 def info_map(text: Column) -> Column:
     """key -> value of an INFO text; flags have an empty value, of repeated keys the first counts."""
     parts = F.filter(F.split(text, ";"), lambda x: (x != "") & (x != "."))
-    pairs = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))["v"].alias("value"))))
+    pairs = F.transform(parts, lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("k"), i.alias("i"), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v")))
+    ordered = F.transform(F.array(F.array_sort(pairs)), lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["k"] != x["k"])))[0]  # equal keys are neighbours
+    return F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
 
 
 def _numbers(raw: Column, kind: str) -> Column:
