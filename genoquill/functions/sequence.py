@@ -105,6 +105,54 @@ def motif_count(seq, motif: str) -> Column:
     return F.regexp_count(_c(seq), F.lit(motif_regex(motif))).cast("long")
 
 
+#: The two internal promoter motifs of polymerase III.
+A_BOX, B_BOX = "TRGYNNANNNG", "GWTCRANNC"
+
+
+def motif_intervals(seq, motif: str) -> Column:
+    """array of (lower, upper): where an IUPAC motif stands, from left to right and without overlaps."""
+    s, pattern = _c(seq), motif_regex(motif)
+    between = F.split(s, pattern, -1)
+    found = F.regexp_extract_all(s, F.lit(f"({pattern})"), F.lit(1))
+    sizes = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lower:int,upper:int>>").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + x["b"] + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["b"]).alias("lower"), (a["at"] + x["b"] + x["m"]).alias("upper")))).alias("out"))
+    return F.aggregate(F.filter(sizes, lambda x: x["m"].isNotNull()), start, step, lambda a: a["out"])
+
+
+def text_hash(text) -> Column:
+    """CRC-32 of the UTF-8 text."""
+    return F.crc32(_c(text).cast("binary"))
+
+
+def edit_items(a: str, b: str) -> list[tuple[int, str, str]]:
+    """(pos in a, ref, alt) of a least-cost alignment from a to b: changed, deleted and inserted letters, from left to right."""
+    n, m = len(a), len(b)
+    d = np.zeros((n + 1, m + 1), np.int32)
+    d[:, 0], d[0, :] = np.arange(n + 1), np.arange(m + 1)
+    letters = np.array([ord(c) for c in b], np.int64)
+    for i in range(1, n + 1):
+        d[i] = _row(d[i - 1], a[i - 1], letters, i)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+            if a[i - 1] != b[j - 1]:
+                out.append((i - 1, a[i - 1], b[j - 1]))
+            i, j = i - 1, j - 1
+        elif i and d[i, j] == d[i - 1, j] + 1:
+            out.append((i - 1, a[i - 1], ""))
+            i -= 1
+        else:
+            out.append((i, "", b[j - 1]))
+            j -= 1
+    return out[::-1]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ref", T.StringType()), T.StructField("alt", T.StringType())])))
+def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else [{"pos": p, "ref": r, "alt": t} for p, r, t in edit_items(x, y)] for x, y in zip(a, b, strict=True)])
+
+
 def cpg(seq) -> Column:
     """Occurrences of CG times 32 over the length."""
     s = _c(seq)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .joins import reference_at
 from .ontology import closure
 
 #: Types that count as one super type; fixed values.
@@ -73,8 +74,15 @@ def flank(size: int, side: int, length: Column, lower: str = "start", upper: str
 
 
 def coding_sequences(t: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Transcripts with coding, protein and validity; what isn't protein is NCRNA, without exons EMPTY."""
-    s = t.join(contigs.select("contig_id", "sequence"), "contig_id").withColumn("coding", S.stranded(S.splice("sequence", "exons"), "strand")).drop("sequence")
+    """Transcripts with coding, protein and validity; what isn't protein is NCRNA, without exons EMPTY.
+
+    A transcript meets the windows of the contig that it lies in, not the whole contig.
+    """
+    low, up = F.array_min(F.transform("exons", lambda x: x["lower"])), F.array_max(F.transform("exons", lambda x: x["upper"]))
+    s = t.withColumns({"_lo": F.coalesce(low, F.lit(0)).cast("long"), "_size": F.coalesce(up - low, F.lit(0)).cast("long")})
+    s = reference_at(s, contigs.select("contig_id", "sequence"), "_lo", F.col("_size")).where("_reference IS NOT NULL")
+    local = F.transform("exons", lambda x: F.struct((x["lower"] - F.col("_lo")).alias("lower"), (x["upper"] - F.col("_lo")).alias("upper")))
+    s = s.withColumn("_local", local).withColumn("coding", S.stranded(S.splice("_reference", "_local"), "strand")).drop("_lo", "_size", "_local", "_reference")
     valid = F.when(F.size("exons") == 0, "EMPTY").when(F.col("kind") != "PROTEIN", "NCRNA").otherwise(S.validity("coding"))
     return s.withColumns({"protein": S.translate("coding"), "validity": valid})
 
@@ -95,3 +103,81 @@ def described(features: DataFrame, words: list[str], column: str = "description"
     for w in words:
         p = p | F.contains(F.upper(column), F.lit(w.upper()))
     return features.where(F.coalesce(p, F.lit(False)))
+
+
+def contig(contigs: DataFrame, contig_id: str, required: bool = False) -> DataFrame:
+    """The rows of one contig; with required KeyError if there is none."""
+    found = contigs.where(F.col("contig_id") == contig_id)
+    if required and found.isEmpty():
+        raise KeyError(contig_id)
+    return found
+
+
+def find(features: DataFrame, feature_id: str) -> DataFrame:
+    """All features of one id; several may share it."""
+    return features.where(F.col("feature_id") == feature_id)
+
+
+def gene_map(features: DataFrame) -> DataFrame:
+    """Genes by contig and end: (contig_id, upper, feature_id, lower, strand); of genes that end at one place the first by id."""
+    g = features.where(super_type() == "GENE")
+    return g.groupBy("contig_id", "upper").agg(F.min(F.struct("feature_id", "lower", "strand")).alias("g")).select("contig_id", "upper", "g.feature_id", "g.lower", "g.strand")
+
+
+def genes_behind(genes: DataFrame, loci: DataFrame) -> DataFrame:
+    """loci (contig_id, pos) with the first gene of gene_map that ends behind pos and begins at or before it; null if there is none."""
+    from .joins import interval_join
+
+    own = loci.select("contig_id", "pos").distinct().withColumn("_up", F.col("pos") + 1)
+    hit = interval_join(own, genes, ["contig_id"], ("pos", "_up"), ("lower", "upper"), 1 << 10)
+    first = hit.groupBy("contig_id", "pos").agg(F.min(F.struct("r_upper", "r_feature_id")).alias("g"))
+    return loci.join(first.select("contig_id", "pos", F.col("g.r_feature_id").alias("gene_id")), ["contig_id", "pos"], "left")
+
+
+def transcript_of(t: DataFrame, gene_id: str, transcript: str) -> DataFrame:
+    """The transcripts of that name of the gene of that id."""
+    return t.where((F.col("gene_id") == gene_id) & (F.col("transcript") == transcript))
+
+
+def start_sites(features: DataFrame, sites: DataFrame) -> DataFrame:
+    """(contig_id, site, gene_id): start sites (feature_id, assigned: ids) under the genes that they are assigned to; unknown genes are left out."""
+    genes = features.where(super_type() == "GENE").select("contig_id", F.col("feature_id").alias("gene_id")).distinct()
+    own = sites.select("contig_id", F.col("feature_id").alias("site"), F.explode("assigned").alias("gene_id"))
+    return own.join(genes, ["contig_id", "gene_id"], "left_semi").select("contig_id", "site", "gene_id").distinct()
+
+
+def extended(five: int, three: int, length: Column, lower: str = "start", upper: str = "end", strand: str = "strand", compat: bool = True) -> Column:
+    """struct of a transcript's interval grown by windows at its ends; (0, 0) if one that is asked for adds nothing.
+
+    With compat both windows are taken at the 3' end.
+    """
+    lo, up = F.col(lower).cast("long"), F.col(upper).cast("long")
+    sides = [(five, 3 if compat else 5), (three, 3)]
+    bad = F.lit(False)
+    for size, side in sides:
+        if size > 0:
+            w = flank(size, side, length, lower, upper, strand)
+            empty = w["upper"] <= w["lower"]
+            lo, up = F.when(empty, lo).otherwise(F.least(lo, w["lower"])), F.when(empty, up).otherwise(F.greatest(up, w["upper"]))
+            bad = bad | (up - lo <= F.col(upper) - F.col(lower))
+    zero = F.lit(0).cast("long")
+    return F.struct(F.when(bad, zero).otherwise(lo).alias("lower"), F.when(bad, zero).otherwise(up).alias("upper"))
+
+
+def feature_text(*columns: str, sep: str = ", ") -> Column:
+    """A feature on one line, as name: value of the columns that are known."""
+    return F.concat_ws(sep, *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns])
+
+
+def introns(t: DataFrame) -> DataFrame:
+    """(contig_id, gene_id, transcript, strand, lower, upper): the gaps between the exons of transcripts."""
+    e = F.array_sort("exons")
+    gaps = F.transform(F.sequence(F.lit(1), F.size("exons") - 1), lambda i: F.struct(e[i - 1]["upper"].alias("lower"), e[i]["lower"].alias("upper")))
+    return t.where(F.size("exons") > 1).select("contig_id", "gene_id", "transcript", "strand", F.explode(gaps).alias("g")).where("g.upper > g.lower").select("contig_id", "gene_id", "transcript", "strand", "g.lower", "g.upper")
+
+
+def intron_statistics(t: DataFrame, contigs: DataFrame, genes: DataFrame) -> DataFrame:
+    """introns of the transcripts of genes (gene_id) with length, letters and counts of the A and B boxes on the gene's strand."""
+    own = introns(t.join(genes.select("gene_id").distinct(), "gene_id", "left_semi"))
+    s = reference_at(own, contigs, "lower", F.col("upper") - F.col("lower")).withColumn("text", S.stranded("_reference", "strand")).drop("_reference")
+    return s.withColumns({"size": F.length("text"), "a_boxes": S.motif_count("text", S.A_BOX), "b_boxes": S.motif_count("text", S.B_BOX)}).drop("text")

@@ -12,7 +12,7 @@ from ..functions import sequence as S
 from ..functions import variants as V
 from . import filters as P
 from . import ordered as O
-from .joins import interval_join
+from .joins import interval_join, reference_at
 
 #: Row filters by name: what they leave out beside variants that don't modify the transcript.
 SELECTORS = {"default": None, "highest_freq": "highest_af", "frameshift": "frameshift", "snp": "snp"}
@@ -20,12 +20,12 @@ SELECTORS = {"default": None, "highest_freq": "highest_af", "frameshift": "frame
 
 def agreeing(variants: DataFrame, contigs: DataFrame) -> DataFrame:
     """variants with their reference text set to what stands in the contig (contig_id, sequence), and an alternate that differs from it."""
-    t = variants.join(contigs, "contig_id")
-    r = F.substring("sequence", F.col("pos").cast("int") + 1, F.length("ref"))
+    t = reference_at(variants, contigs, "pos", F.length("ref")).where("_reference IS NOT NULL")
+    r = F.col("_reference")
     kind = V.variant_type()
     anchor = F.substring(r, 1, 1)
     a = F.when(kind == "DELETE", anchor).when(kind == "INSERT", F.concat(anchor, F.substring("alt", F.lit(2), F.length("alt")))).otherwise(F.translate(anchor, "ACGT", "GTAC"))
-    return t.withColumns({"_r": r, "_a": a}).where(F.length("_r") == F.length("ref")).drop("ref", "alt", "sequence").withColumnsRenamed({"_r": "ref", "_a": "alt"})
+    return t.withColumns({"_r": r, "_a": a}).where(F.length("_r") == F.length("ref")).drop("ref", "alt", "_reference").withColumnsRenamed({"_r": "ref", "_a": "alt"})
 
 
 def select(variants: DataFrame, how: str = "default", compat: bool = True) -> DataFrame:
@@ -85,8 +85,8 @@ def mutate(variants: DataFrame, transcripts: DataFrame, contigs: DataFrame, how:
     m = chosen.withColumn("_m", V.modify_interval()).select("genome_id", "contig_id", "pos", "ref", "alt", F.col("_m.lower").alias("lo"), F.greatest("_m.upper", F.col("_m.lower") + 1).alias("up"))
     hit = interval_join(m, t.select("transcript", "contig_id", "lower", "upper"), ["contig_id"], ("lo", "up"), ("lower", "upper"), 128)
     hit = hit.groupBy("genome_id", "contig_id", F.col("r_transcript").alias("transcript")).agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "alt"))).alias("edits"))
-    span = F.substring("sequence", (F.col("lower") + 1).cast("int"), (F.col("upper") - F.col("lower")).cast("int"))
-    rows = hit.join(t, ["transcript", "contig_id"]).join(contigs, "contig_id").select("genome_id", "transcript", "strand", "lower", "exons", "edits", span.alias("span"))
+    t = reference_at(t, contigs, "lower", F.col("upper") - F.col("lower")).where("_reference IS NOT NULL").withColumnRenamed("_reference", "span")
+    rows = hit.join(t, ["transcript", "contig_id"]).select("genome_id", "transcript", "strand", "lower", "exons", "edits", "span")
 
     def fold(batches):
         for b in batches:
@@ -117,3 +117,25 @@ def transcript_families(mutated: DataFrame) -> DataFrame:
 
     t = mutated.where("coding IS NOT NULL").groupBy("transcript", "coding").agg(F.count("*").alias("genomes"), F.min("genome_id").alias("first"))
     return t.withColumn("label", F.row_number().over(W.partitionBy("transcript").orderBy(F.col("genomes").desc(), "first")))
+
+
+def mutate_regions(variants: DataFrame, regions: DataFrame, contigs: DataFrame, how: str = "default") -> DataFrame:
+    """mutate over plain regions (region, contig_id, lower, upper): (genome_id, region, variants, sequence, shift); null where an edit fails."""
+    t = regions.select(F.col("region").alias("transcript"), "contig_id", F.lit("+").alias("strand"), F.array(F.struct(F.col("lower").cast("long").alias("lower"), F.col("upper").cast("long").alias("upper"))).alias("exons"))
+    return mutate(variants, t, contigs, how).select("genome_id", F.col("transcript").alias("region"), "variants", F.col("coding").alias("sequence"), "shift")
+
+
+def family_distances(mutated: DataFrame, transcript: str) -> DataFrame:
+    """(i, j, d) over the distinct sequences of one transcript, by label: edit distances for its family tree."""
+    from .trees import edit
+
+    f = transcript_families(mutated.where(F.col("transcript") == transcript))
+    return edit(f.select("label", "coding"), "label", "coding")
+
+
+def genome_distances(mutated: DataFrame) -> DataFrame:
+    """(i, j, d) of genomes i > j: the share of transcripts, of those that both have, whose sequences differ."""
+    t = mutated.select("transcript", "genome_id", F.coalesce("coding", F.lit("")).alias("coding"))
+    a, b = t.withColumnsRenamed({"genome_id": "i", "coding": "x"}), t.withColumnsRenamed({"genome_id": "j", "coding": "y"})
+    both = a.join(b, "transcript").where("i > j")  # genomes of a tree: a bounded set
+    return both.groupBy("i", "j").agg(F.avg((F.col("x") != F.col("y")).cast("double")).alias("d"))
