@@ -2,37 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: The white space that separates words: the space and the characters 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-_OWN_DIR: list[str] = []
+#: Tables that materialize has written and release has not removed, in order.
+_MADE: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="genoquill-"))
-    return _OWN_DIR[0]
+def made() -> int:
+    """A mark for release: tables written later are those since the mark."""
+    return len(_MADE)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *keep: DataFrame, since: int = 0) -> None:
+    """Remove the tables that materialize has written since a mark of made, without those that the frames of keep are read from."""
+    kept = [f.rpartition("/")[0] for df in keep for f in df.inputFiles()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left = []
+    for path in _MADE[since:]:
+        if any(f.endswith(path.rpartition("/")[2]) for f in kept):
+            left.append(path)
+            continue
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    _MADE[since:] = left
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import made, materialize, release
 from .components import connected_components
 
 WIDTH, SEED, BITS = 4, 42, 64
@@ -194,7 +194,8 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None) -> DataF
     distinct = materialize(fps.select("fp").where("fp is not null").distinct(), "fps")
     blocks = blocks or blocks_for(distinct.count(), distance)
     masks = block_masks(blocks, blocks - distance)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.choice", "k.bits")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(parts, "fp").select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.choice", "k.bits")
     buckets = materialize(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
     twos = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
     members = keyed.join(buckets.where("n > 2").select("choice", "bits", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), ["choice", "bits"])
@@ -230,8 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Near-duplicates share SIMILARITY of their distinct shingles (Jaccard). Two texts count as candidates if they share
 #: COMMON shingles of their prefixes, or if their fingerprints differ in NEAR bits at most.
 SIMILARITY, COMMON, NEAR = 0.8, 4, 4
-#: Size of the bitmaps by which what no other side has is left out before it is shuffled.
-FILTER_BITS = 1 << 23
+#: Bits of the bitmaps by which what no other side has is left out before it is shuffled: eight for each value, within bounds.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Shingles that stand in OFTEN or more of a sample of documents come last in prefixes; MOST_OFTEN of them at the utmost.
 OFTEN, MOST_OFTEN, SAMPLE, LEAST_SAMPLE = 3, 1_000_000, 1 / 16, 5000
 
@@ -264,71 +265,67 @@ def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: fl
     return own[np.argsort(seen, kind="stable")][: len(own) - least + min(COMMON, least)]
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the hashed values of column key: FILTER_BITS / 64 rows go to the driver at the utmost."""
-    h = F.pmod(F.shiftright(F.col("key"), 7), F.lit(FILTER_BITS))
+def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the hashed values of column key, for about n of them: MOST_BITS / 64 rows go to the driver at the utmost."""
+    bits = 1 << min(max((8 * n).bit_length(), LEAST_BITS.bit_length() - 1), MOST_BITS.bit_length() - 1)
+    h = F.pmod(F.shiftright(F.col("key"), 7), F.lit(bits))
     words = keys.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
-    seen = np.zeros(FILTER_BITS // 64, np.uint64)
+    seen = np.zeros(bits // 64, np.uint64)
     seen[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return seen
 
 
 def _hit(seen: np.ndarray, key: np.ndarray) -> np.ndarray:
-    h = (key >> 7) & (FILTER_BITS - 1)
+    h = (key >> 7) & (64 * len(seen) - 1)
     return (seen[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b) of pairs whose texts have the similarity, by their whole shingle sets; texts: (node, raw)."""
-    mixed = lambda c: F.xxhash64(c)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(mixed("node").alias("key"))
-    seen = pairs.sparkSession.sparkContext.broadcast(_bitmap(ends))
+def _set_digest(own: np.ndarray, seed: int) -> tuple[int, int]:
+    """A text's node and check: both halves of a 128-bit digest of its distinct hashes, signed."""
+    digest = xxhash.xxh3_128_digest(own.tobytes(), seed)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.flatnonzero(_hit(seen.value, b.column(2).to_numpy()))
-            for k in range(0, len(at), 1000):
-                part = b.take(pa.array(at[k : k + 1000]))
-                own = [np.unique(_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width)).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.large_binary()).cast(pa.binary())], names=["node", "own"])
 
-    own = materialize(texts.select("node", "raw", mixed("node").alias("key")).mapInArrow(sets, "node long, own binary"), "sets")
-    both = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+def _read_nodes(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """own (row, id, node, check, size, fp), nodes (node, least, size, fp, n) and the seed by which no two sets share a node.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
-        for b in batches:
-            yield b.select(["a", "b"]).filter(pa.array([similar(hashes(x), hashes(y), similarity) for x, y in zip(b.column("x"), b.column("y"), strict=True)], pa.bool_()))
+    Texts of equal sets are one node, whose least is the smallest (id, row). rows: id, row, raw.
+    """
+    schema = T.StructType([rows.schema["id"], *[T.StructField(n, T.LongType()) for n in ("row", "node", "check", "size", "fp")]])
+    for seed in range(3):
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+        def run(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in _slices(b, 2):
+                    got = []
+                    for h in shingle_hashes(_raws(part.column(2)), width):
+                        own = np.unique(h)
+                        got.append((*_set_digest(own, seed), len(own), _majority(h)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in zip(*got, strict=True)]], names=schema.names)
+
+        own = materialize(rows.select("id", "row", "raw").mapInArrow(run, schema), "own")
+        nodes = own.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        nodes = materialize(nodes, "nodes")
+        if nodes.where("lo <> hi").isEmpty():
+            return own, nodes, seed
+    raise RuntimeError("different sets share a node under every seed")
 
 
 def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str = "row", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(row, keep) per row of rows: keep is true for the row of each group with the smallest (id, row). row_col holds distinct numbers.
 
     Groups are the components of all pairs whose distinct shingles have the Jaccard similarity or more: no such pair is
-    missed and none below it is a link. Texts of equal sets are one node. Candidates come from the pigeonhole blocks of
-    64-bit fingerprints and from an exact prefix-filter join, and each is verified by its whole sets. First each bucket's
-    members are held against its smallest one only, so that groups of copies become components at linear cost; then
-    all pairs of prefix buckets that are still apart, tile by tile.
+    missed and none below it is a link. Candidates come from the pigeonhole blocks of 64-bit fingerprints and from an exact
+    prefix-filter join, and each is verified by its whole sets. First each bucket's members are held against one of them, by
+    an order of its own, then what is still apart against another one, so that groups of copies become components at linear
+    cost; then all pairs of prefix buckets that are still apart, tile by tile.
+
+    Texts are read four times and never shuffled; a task hands on equal texts once.
     """
+    spark = rows.sparkSession
     raw = rows.select(F.col(id_col).alias("id"), F.col(row_col).alias("row"), F.col(text_col).cast("binary").alias("raw"))
-    schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in _slices(b, 2):
-                got = []
-                for h in shingle_hashes(_raws(part.column(2)), width):
-                    own = np.unique(h)
-                    got.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), _majority(h)))
-                digest, size, fp = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(fp, pa.int64())], names=schema.names)
-
-    own = materialize(raw.mapInArrow(run, schema), "own")
-    nodes = materialize(own.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.min("row").alias("node"), F.min("size").alias("size"), F.min("fp").alias("fp")), "nodes")
+    own, nodes, seed = _read_nodes(raw, width)
     n_nodes = nodes.count()
-    texts = materialize(raw.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "raw"), "texts")
     share = min(1.0, max(SAMPLE, LEAST_SAMPLE / max(n_nodes, 1)))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,27 +335,32 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
                 key, n = np.unique(np.concatenate(h), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    sampled = texts.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share * (1 << 20)).select("raw").mapInArrow(shingles, "key long, n long")
+    sampled = raw.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < share * (1 << 20)).select("raw").mapInArrow(shingles, "key long, n long")
     often = sampled.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(MOST_OFTEN).toArrow()
     keys = often["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    common = rows.sparkSession.sparkContext.broadcast((keys[order], often["n"].to_numpy()[order]))
+    common = spark.sparkContext.broadcast((keys[order], often["n"].to_numpy()[order]))
     masks = np.array(block_masks(blocks := blocks_for(n_nodes, NEAR), blocks - NEAR), np.int64)
 
     def buckets_of(seen):
         """(key, node) of prefixes (even keys) and of fingerprint blocks (odd keys)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mixers = np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixers, done = np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), set()
             for b in batches:
-                for part in _slices(b, 1):
-                    found = []
+                for part in _slices(b, 0):
+                    found, node = [np.zeros(0, np.int64)], []
                     with np.errstate(over="ignore"):
-                        for h in shingle_hashes(_raws(part.column(1)), width):
-                            near = ((masks & np.int64(_majority(h))).view(np.uint64) ^ mixers) * np.uint64(0xBF58476D1CE4E5B9)
-                            near = (near ^ (near >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                            found.append(np.concatenate([prefix(np.unique(h), common.value, similarity) & ~np.uint64(1), (near ^ (near >> np.uint64(32))) | np.uint64(1)]).view(np.int64))
-                    key, node = np.concatenate(found), np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                        for h in shingle_hashes(_raws(part.column(0)), width):
+                            distinct = np.unique(h)
+                            own = _set_digest(distinct, seed)[0]
+                            if own in done:
+                                continue
+                            done.add(own)
+                            near = _mixed((masks & np.int64(_majority(h))).view(np.uint64) ^ mixers)
+                            found.append(np.concatenate([prefix(distinct, common.value, similarity) & ~np.uint64(1), near | np.uint64(1)]).view(np.int64))
+                            node.append(own)
+                    key, node = np.concatenate(found), np.repeat(np.array(node, np.int64), [len(x) for x in found[1:]])
                     if seen is not None:
                         hit = _hit(seen.value, key)
                         key, node = key[hit], node[hit]
@@ -366,13 +368,17 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return run
 
-    keyed = texts.mapInArrow(buckets_of(None), "key long, node long")
-    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1"), "buckets")
-    seen = rows.sparkSession.sparkContext.broadcast(_bitmap(buckets))
-    members = materialize(texts.mapInArrow(buckets_of(seen), "key long, node long").join(buckets, "key"), "members")
+    # A bucket's members in an order of its own: the first and the last of them are held against the others.
+    place = F.col("node").bitwiseXOR(F.col("key"))
+    keyed = raw.select("raw").mapInArrow(buckets_of(None), "key long, node long")
+    buckets = keyed.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+    buckets = materialize(buckets.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("a"), F.col("hi").bitwiseXOR(F.col("key")).alias("z")), "buckets")
+    seen = spark.sparkContext.broadcast(_bitmap(buckets, buckets.count()))
+    members = raw.select("raw").mapInArrow(buckets_of(seen), "key long, node long").join(buckets, "key")
+    members = materialize(members.groupBy("key", "node").agg(F.first("a").alias("a"), F.first("z").alias("z")), "members")
     block = F.col("key").bitwiseAND(F.lit(1).cast("long"))
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("fp").alias(f"{c}_fp"))
     needed = lambda c: F.least(F.lit(COMMON), F.ceil(similarity * F.col(f"{c}_size") - 1e-9))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("fp").alias(f"{c}_fp"))
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """(a, b) of (a, b, shared, blocks) that can have the similarity."""
@@ -381,15 +387,55 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
         near = (F.col("blocks") > 0) & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= NEAR)
         return both.where(sizes & (near | (F.col("shared") >= F.least(needed("a"), needed("b"))))).select("a", "b")
 
-    stars = members.where("node <> a").select("a", F.col("node").alias("b"), block.alias("block")).groupBy("a", "b").agg(F.sum(1 - F.col("block")).alias("shared"), F.sum("block").alias("blocks"))
-    tested = materialize(candidates(stars), "stars")
-    links1 = materialize(_verified(tested, texts, width, similarity), "links")
-    roots = connected_components(links1, "a", "b").select(F.col("node").alias("_n"), "root")
-    rooted = members.where(block == 0).join(roots, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")  # a bucket of one component has no pair to find
-    sized = rooted.join(apart, "key", "left_semi").join(nodes.select("node", "size"), "node")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b) of pairs that have the similarity by their whole shingle sets."""
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least.row"), "node").select(F.xxhash64("row").alias("key"), "row"), "ends")
+        wanted = spark.sparkContext.broadcast(_bitmap(ends, ends.count()))
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = np.flatnonzero(_hit(wanted.value, b.column(2).to_numpy()))
+                for part in _slices(b.take(pa.array(at)), 1):
+                    found = [np.unique(h) for h in shingle_hashes(_raws(part.column(1)), width)]
+                    node, own = [_set_digest(x, seed)[0] for x in found], [x.tobytes() for x in found]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(own, pa.binary())], names=["row", "node", "own"])
+
+        found = raw.select("row", "raw", F.xxhash64("row").alias("key")).mapInArrow(sets, "row long, node long, own binary")
+        found = materialize(found.join(ends.select("row"), "row", "left_semi").select("node", "own"), "sets")
+        both = pairs.select("a", "b").join(found.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+            for b in batches:
+                yield b.select(["a", "b"]).filter(pa.array([similar(hashes(x), hashes(y), similarity) for x, y in zip(b.column("x"), b.column("y"), strict=True)], pa.bool_()))
+
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+
+    def ordered(pairs: DataFrame, *more) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
+
+    def stars(met: DataFrame, pivot: str) -> DataFrame:
+        """Candidates of members (key, node) with the bucket's pivot."""
+        pairs = met.where(F.col("node") != F.col(pivot)).select(F.col(pivot).alias("a"), F.col("node").alias("b"), block.alias("block"))
+        return candidates(ordered(pairs, "block").groupBy("a", "b").agg(F.sum(1 - F.col("block")).alias("shared"), F.sum("block").alias("blocks")))
+
+    def rooted(links: DataFrame) -> DataFrame:
+        """Members of prefix buckets that hold more than one component, with their roots."""
+        roots = connected_components(links, "a", "b").select(F.col("node").alias("_n"), "root")
+        t = members.where(block == 0).join(roots, F.col("node") == F.col("_n"), "left").select("key", "node", "a", "z", F.coalesce("root", "node").alias("root"))
+        t = materialize(t, "rooted")
+        apart = t.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1").select("key", "n")
+        return t.join(apart, "key")
+
+    tested = materialize(stars(members, "a"), "stars")
+    links = verified(tested)
+    again = rooted(links)
+    far = again.where("node = z").select("key", F.col("root").alias("z_root"))
+    second = materialize(stars(again.join(far, "key").where("root <> z_root"), "z").join(tested, ["a", "b"], "left_anti"), "stars")
+    tested, links = tested.union(second), links.union(verified(second))
+    t = rooted(links).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).join(nodes.select("node", "size"), "node")
     home = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    tiled = sized.select("key", F.struct("node", "root", "size", home.alias("home")).alias("m"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiled = t.select("key", F.struct("node", "root", "size", home.alias("home")).alias("m"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     tiles = tiled.groupBy("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j")).agg(F.collect_set("m").alias("m"))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,8 +452,7 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rest = tiles.select("i", "j", "m").mapInArrow(across, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"), F.lit(0).alias("blocks"))
     untested = materialize(candidates(rest).join(tested, ["a", "b"], "left_anti"), "rest")
-    links2 = materialize(_verified(untested, texts, width, similarity), "links")
-    every = connected_components(links1.union(links2), "a", "b").select(F.col("node").alias("_n"), "root")
+    every = connected_components(links.union(verified(untested)), "a", "b").select(F.col("node").alias("_n"), "root")
     placed = nodes.join(every, nodes["node"] == every["_n"], "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
     return own.join(stay, own["row"] == stay["_row"], "left").select("row", F.col("_row").isNotNull().alias("keep"))
@@ -417,8 +462,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """The rows of docs that stay: of each group of near-duplicates (see similar_components) the one with the smallest id.
 
     Null texts count as empty; all texts without words are one group. Rows are told apart by a number of their own, so
-    null and repeated ids don't matter.
+    null and repeated ids don't matter. The tables that the search for groups wrote are removed at its end.
     """
+    before = made()
     rows = materialize(docs.withColumn("_own_row", F.monotonically_increasing_id()), "rows")
-    near = materialize(similar_components(rows, id_col, text_col, "_own_row", width, similarity), "near")
-    return rows.join(near.where("keep").select(F.col("row").alias("_own_row")), "_own_row", "left_semi").select(*docs.columns)
+    near = materialize(similar_components(rows, id_col, text_col, "_own_row", width, similarity).where("NOT keep").select(F.col("row").alias("_own_row")), "near")
+    release(docs.sparkSession, rows, near, since=before)
+    return rows.join(near, "_own_row", "left_anti").select(*docs.columns)
