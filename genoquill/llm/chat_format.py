@@ -33,12 +33,24 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
+#: Bytes that are scattered by index at once, and bytes of the turns that are assembled into one buffer.
+SCATTER, BUFFER = 1 << 20, 1 << 25
+
+
 def _scatter(out: np.ndarray, at: np.ndarray, values: pa.Array) -> None:
-    """Copy each string of values to out from its place in at."""
+    """Copy each string of values to out from its place in at: by indices in blocks of about SCATTER bytes, a longer string as a whole."""
     offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4).astype(np.int64)
     size = np.diff(offsets)
-    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    out[np.repeat(at - (offsets[:-1] - offsets[0]), size) + np.arange(len(data))] = data
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    k = 0
+    while k < len(size):
+        end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SCATTER, side="right")) - 1)
+        part = data[offsets[k] : offsets[end]]
+        if end == k + 1:
+            out[at[k] : at[k] + size[k]] = part
+        else:
+            out[np.repeat(at[k:end] - (offsets[k:end] - offsets[k]), size[k:end]) + np.arange(len(part))] = part
+        k = end
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -67,10 +79,14 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roles, texts = b.column(2).cast(pa.string()), b.column(3).cast(pa.string())
-            chunks, lo, hi = assemble(roles, texts)
-            hi = np.where(pc.fill_null(pc.equal(roles, loss_role), False).to_numpy(zero_copy_only=False), hi, lo)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), chunks.cast(pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=schema.names)
+            group = np.cumsum(pc.fill_null(pc.binary_length(b.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BUFFER
+            edges = np.flatnonzero(np.diff(group, prepend=-1))
+            for at, end in zip(edges, [*edges[1:], b.num_rows]):
+                part = b.slice(at, end - at)
+                roles, texts = part.column(2).cast(pa.string()), part.column(3).cast(pa.string())
+                chunks, lo, hi = assemble(roles, texts)
+                hi = np.where(pc.fill_null(pc.equal(roles, loss_role), False).to_numpy(zero_copy_only=False), hi, lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), chunks.cast(pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=schema.names)
 
     return turns.select(F.col(conv), F.col(turn), F.col(role).cast("string"), F.col(text).cast("string")).mapInArrow(run, schema)
 

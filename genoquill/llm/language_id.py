@@ -30,26 +30,39 @@ FULL, WEIGHT = 400, 0.25
 #: Pseudo-counts: of a level's parent, and of declared languages.
 KAPPA, CLAIM = 5.0, 1.0
 _CODE = re.compile(r"[a-z]{2}(?:[-_][a-z0-9]{2,8})?$")
-_DECLARED = re.compile(r"<html\b[^>]{0,2000}?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_HTML = re.compile(r"<html\b([^>]*)", re.I | re.A)
+_LANG = re.compile(r"(?<![\w-])lang\s*=\s*[\"']?\s*([a-z]+)", re.I | re.A)
+_ENDS = {"<script": re.compile("</script", re.I | re.A), "<style": re.compile("</style", re.I | re.A)}
+#: Labels that with a country's suffix stand for one, so that a domain is registered below them.
+SECOND = frozenset("ac co com edu gob gov mil ne net nom or org".split())
+
+
+def declared_language(html: str) -> str:
+    """The code in lower case, without its region, that the first html tag with a language declares; empty if none does."""
+    for tag in _HTML.finditer(html):
+        if found := _LANG.search(tag[1]):
+            return found[1].lower()
+    return ""
 
 
 def visible_text(html: str) -> str:
     """html without tags, comments, scripts and styles; one pass from left to right, entities are left."""
-    out, at, low = [], 0, html.lower()
+    out, at = [], 0
     while True:
         tag = html.find("<", at)
         if tag < 0:
             out.append(html[at:])
             return " ".join(out)
         out.append(html[at:tag])
-        if low.startswith("<!--", tag):
-            end, skip = low.find("-->", tag + 4), 3
-        elif low.startswith("<script", tag):
-            end, skip = low.find("</script", tag + 7), 0
-        elif low.startswith("<style", tag):
-            end, skip = low.find("</style", tag + 6), 0
+        if html.startswith("<!--", tag):
+            end, skip = html.find("-->", tag + 4), 3
         else:
-            end, skip = low.find(">", tag), 1
+            name = next((n for n in _ENDS if html[tag : tag + len(n)].lower() == n), None)
+            if name:
+                close = _ENDS[name].search(html, tag + len(name))
+                end, skip = close.start() if close else -1, 0
+            else:
+                end, skip = html.find(">", tag), 1
         if end < 0:
             return " ".join(out)
         at = end + skip
@@ -77,7 +90,7 @@ class Model:
         got = trigrams(text)
         if not len(got):
             return np.zeros(len(self.languages))
-        return self.log_p[:, got].sum(axis=1) * WEIGHT * min(1.0, FULL / len(got))
+        return self.log_p @ np.bincount(got, minlength=BUCKETS) * (WEIGHT * min(1.0, FULL / len(got)))
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
@@ -116,7 +129,8 @@ def address(url: str | None) -> tuple[str, str, str, str]:
         return "", "", "", ""
     labels = host.split(".")
     code = next((s[:2] for s in parts.path.lower().split("/")[1:3] if _CODE.match(s)), "")
-    return host, ".".join(labels[-2:]), labels[-1], code
+    below = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND
+    return host, ".".join(labels[-3 if below else -2 :]), ".".join(labels[-2:]) if below else labels[-1], code
 
 
 def evidence(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -128,9 +142,11 @@ def evidence(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: s
         m = shared.value
         for b in batches:
             where = [address(u.as_py()) for u in b.column(1)]
-            html = [h.as_py() or "" for h in b.column(2)]
-            said = [x[1].lower()[:2] if (x := _DECLARED.search(h[:20_000] if "<html" in h[:20_000].lower() else h)) else "" for h in html]
-            ll = [m.likelihoods(visible_text(h)).tolist() for h in html]
+            said, ll = [], []
+            for h in b.column(2):
+                html = h.as_py() or ""
+                said.append(declared_language(html))
+                ll.append(m.likelihoods(visible_text(html)).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string()) for c in zip(*where, strict=True)], pa.array(said, pa.string()), pa.array(ll, pa.list_(pa.float64()))], names=schema.names)
 
     return pages.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, schema)

@@ -43,47 +43,98 @@ def record_bytes(kind: str, name: str, uri: str, payload: bytes, digest: str, re
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def members(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The decompressed gzip members of a stream, one after the other, read chunk by chunk."""
-    left = b""
-    while True:
-        unpack, parts, fed = zlib.decompressobj(31), [], False
-        while not unpack.eof:
-            data = left or stream.read(chunk)
-            left = b""
-            if not data:
-                if fed:
-                    raise ValueError("truncated gzip member")
-                return
-            fed = True
-            parts.append(unpack.decompress(data))
-        left = unpack.unused_data
-        yield b"".join(parts)
-
-
-def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """(WARC headers, HTTP headers, payload) of each record, names in lower case. Wrong framing or digests raise ValueError."""
+class Members:
+    """The gzip members of a stream, one after the other, decompressed in pieces of chunk bytes at most."""
+
+    def __init__(self, stream: BinaryIO, chunk: int = CHUNK) -> None:
+        self.stream, self.chunk, self.raw, self.held, self.unpack = stream, chunk, b"", b"", None
+
+    def begin(self) -> bool:
+        """Go to the next member; false at the end of the stream."""
+        self.raw = self.raw or self.stream.read(self.chunk)
+        self.unpack = zlib.decompressobj(31) if self.raw else None
+        return bool(self.raw)
+
+    def more(self) -> bytes:
+        """The next piece of the member; empty at its end, where what stands behind it is kept for the next one."""
+        while not self.unpack.eof:
+            data = self.raw or self.stream.read(self.chunk)
+            piece = self.unpack.decompress(data, self.chunk)
+            self.raw = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if piece:
+                return piece
+            if not data and not self.unpack.eof:
+                raise ValueError("truncated gzip member")
+        return b""
+
+    def until(self, mark: bytes) -> bytes:
+        """The bytes up to mark, which is passed over."""
+        while (at := self.held.find(mark)) < 0:
+            if not (piece := self.more()):
+                raise ValueError("a header has no end")
+            self.held += piece
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def pieces(self, size: int) -> Iterator[bytes]:
+        """The next size bytes, piece by piece."""
+        while size:
+            piece = self.held or self.more()
+            if not piece:
+                raise ValueError("Content-Length and member disagree")
+            self.held = piece[size:]
+            piece = piece[:size]
+            size -= len(piece)
+            yield piece
+
+    def end(self) -> None:
+        """Two line breaks and nothing else must be left of the member."""
+        rest = self.held
+        while piece := self.more():
+            rest += piece
+            if len(rest) > 4:
+                break
+        if rest != b"\r\n\r\n":
+            raise ValueError("Content-Length and member disagree")
+        self.held = b""
+
+
+def read_records(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """(WARC headers, HTTP headers, payload) of each record, names in lower case. Wrong framing or digests raise ValueError.
+
+    A member is framed by its Content-Length as it is decompressed, and both digests run along; the payload alone is held. A
+    record may leave the block digest out, which then isn't checked; a response has to have a payload digest.
+    """
 
     def headers(data: bytes) -> dict[str, str]:
         lines = data.decode("utf-8").split("\r\n")[1:]
         return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
-    for data in members(stream):
-        at = data.index(b"\r\n\r\n") + 4
-        if not data.startswith(b"WARC/1."):
+    member = Members(stream, chunk)
+    while member.begin():
+        first = member.until(b"\r\n\r\n")
+        if not first.startswith(b"WARC/1."):
             raise ValueError("not a WARC record")
-        head = headers(data[: at - 4])
-        end = at + int(head["content-length"])
-        block = data[at:end]
-        if len(block) != end - at or data[end:] != b"\r\n\r\n":
-            raise ValueError("Content-Length and member disagree")
-        if head.get("warc-block-digest", "sha1:" + digest_of(block)) != "sha1:" + digest_of(block):
+        head = headers(first)
+        whole, own, front, payload = hashlib.sha1(), hashlib.sha1(), b"", None
+        for piece in member.pieces(int(head["content-length"])):
+            whole.update(piece)
+            if payload is None:
+                front += piece
+                if (at := front.find(b"\r\n\r\n")) < 0:
+                    continue
+                front, piece, payload = front[:at], front[at + 4 :], []
+            own.update(piece)
+            payload.append(piece)
+        member.end()
+        if payload is None:
+            raise ValueError("a block has no HTTP header")
+        digest = lambda h: "sha1:" + base64.b32encode(h.digest()).decode()
+        if head.get("warc-block-digest", digest(whole)) != digest(whole):
             raise ValueError("block digest differs")
-        cut = block.index(b"\r\n\r\n") + 4
-        payload = block[cut:]
-        if head["warc-type"] == "response" and head["warc-payload-digest"] != "sha1:" + digest_of(payload):
+        if head["warc-type"] == "response" and head["warc-payload-digest"] != digest(own):
             raise ValueError("payload digest differs")
-        yield head, headers(block[: cut - 4]), payload
+        yield head, headers(front), b"".join(payload)
 
 
 def _name(value: object) -> str:
