@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoquill.llm import line_dedup, mixing, piece_lattice, quality_classifier, simhash
-from genoquill.llm.common import materialize, table
+from genoquill.llm.common import made, materialize, release, table
 
 #: Near-duplicates share 0.8 of their shingles of five words or more; see simhash.SIMILARITY.
 SHINGLE = 5
 MOST_REPEATS = 2.0
-#: A document that keeps a smaller share of its characters has its lines in others already, and goes.
-LEAST_LEFT = 0.2
+#: A line of WORDS words or more; shorter ones are never judged by line dedup.
+WORDS = line_dedup.LEAST_WORDS
+_LINE = rf"(?m)^[\x20\x09\x0B-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]+){{{WORDS - 1}}}[^\x20\x09-\x0D]"
+#: Segmentations of each text that are searched.
+BEST = 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay in one document only; documents that lose nearly all of their text to others go."""
-    left = line_dedup.drop_copies(docs.withColumn("_before", F.length("text")))
+    """Lines of recurring templates stay in one document only; documents of which only fragments of fewer than WORDS words a line are left go."""
+    left = line_dedup.drop_copies(docs)
     changed = F.col("n_dropped") > 0
-    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return left.where(~changed | (F.length(F.btrim("text")) >= LEAST_LEFT * F.col("_before"))).withColumn("n_chars", n_chars).select(*docs.columns)
+    out = left.where(~changed | F.col("text").rlike(_LINE))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +48,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, and the ids, their number and score, of the best segmentation of each document."""
-    found = piece_lattice.encode_rows(docs.select("doc_id", "source", "text"), n=1)
-    return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "lossless")
+    """doc_id, source, and of each document the ids, their number and score of the best segmentation, and the scores of the BEST best."""
+    found = piece_lattice.encode_rows(docs.select("doc_id", "source", "text"), n=BEST)
+    return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "scores", "lossless")
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing sources", mixture), ("SentencePiece encoding", pieces)]
@@ -55,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents; what a stage wrote beside its result is removed when the result is written."""
     docs = table(spark, sf_dir, "documents")
+    before = made()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, docs, since=before)
     return STAGES[-1][1](spark, docs, sf_dir)
