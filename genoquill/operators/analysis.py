@@ -200,7 +200,7 @@ def same_parameters(results: Sequence[Mapping[str, object]], names: Sequence[str
 
 def accumulate(df: DataFrame, by: Sequence[str], function, kind: str, *columns: str) -> DataFrame:
     """(by, result): a caller's function of the columns of a group, as a grouped aggregate over Arrow batches."""
-    return df.groupBy(*by).agg(F.pandas_udf(function, kind)(*columns).alias("result"))
+    return df.groupBy(*by).agg(F.pandas_udf(function, kind, F.PandasUDFType.GROUPED_AGG)(*columns).alias("result"))
 
 
 def gene_report(characteristics: DataFrame, variants: DataFrame, samples: DataFrame, populations: Sequence[str], records: DataFrame) -> DataFrame:

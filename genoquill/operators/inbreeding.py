@@ -73,14 +73,14 @@ def hall(observed: DataFrame, start: float = 0.5, least: int = 50, most: int = 1
 
 
 def log_likelihood(observed: DataFrame, least: float = 1e-10) -> DataFrame:
-    """Maximum of the likelihood of the genotype classes over F in [-1, 1]."""
+    """Maximum of the likelihood of the genotype classes over F in [-1, 1], the best of four searches that start apart."""
 
     def fit(hom: np.ndarray, q: np.ndarray, f: np.ndarray) -> float:
         def loss(x: float) -> float:
             p = np.where(hom, q * q * (1 - x) + q * x, 2 * f * (1 - f) * (1 - x))
             return -float(np.log(np.clip(p, least, None)).sum())
 
-        return minimise(loss, -1.0, 1.0)
+        return min((minimise(loss, a, a + 0.5) for a in (-1.0, -0.5, 0.0, 0.5)), key=loss)
 
     return _per_genome(observed, "f_likelihood", fit)
 

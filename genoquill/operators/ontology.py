@@ -127,8 +127,10 @@ def path_counts(edges: DataFrame) -> DataFrame:
 
     while n:
         power = stored(product(power, power), "paths")
-        if n := _acyclic(power):
+        n = power.count()
+        if n:
             total = stored(total.union(power).union(product(total, power)).groupBy("term", "ancestor").agg(F.sum("paths").alias("paths")), "paths")
+            _acyclic(total)  # all walks of fewer than twice as many edges
     terms = e.select("term").union(e.select("ancestor")).distinct()
     return total.union(terms.select("term", F.col("term").alias("ancestor"), F.lit(1).cast("long").alias("paths")))
 

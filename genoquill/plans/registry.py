@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import analysis_queries, literature_queries, ontology_queries, sequence_queries, variant_queries  # noqa: F401
+    from . import analysis_queries, literature_queries, ontology_queries, sequence_queries, source_queries, variant_queries  # noqa: F401
