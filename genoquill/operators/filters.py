@@ -7,6 +7,7 @@ position; the order of rows is given where a first one counts.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -279,3 +280,11 @@ class Registry:
 FILTERS = Registry()
 for _f in (homozygous_offsets, heterozygous_offsets, diploid_offsets, unique_unphased, unique_phased, coding):
     FILTERS.register(_f.__name__, _f)
+
+
+def variant_only(step: str | Column) -> Column:
+    """A step as a test of single variants: conditions as they are; filters of loci or contigs let no variant pass, with a warning."""
+    if isinstance(step, Column):
+        return settled(step)
+    logging.getLogger(__name__).warning("%s is no filter of single variants", step)
+    return F.lit(False)

@@ -1,6 +1,6 @@
 """Bayesian phylogenetics: site patterns, substitution models, pruning likelihood and Metropolis-Hastings chains.
 
-Patterns and tree samples are frames; a chain is sequential and runs in one task, chains run beside each other.
+Patterns and tree samples are frames; a run of chains is sequential and is one task, runs go beside each other.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -162,6 +163,111 @@ def chains(spark: SparkSession, start: str, taxa: Sequence[str], sites: Sequence
     return spark.range(0, len(powers), 1, len(powers)).mapInPandas(run, "chain long, step long, tree string, log_likelihood double")
 
 
+@dataclass
+class State:
+    """A tree and the parameters of its model: frequencies of states, exchangeabilities, gamma shape and share of invariable sites."""
+
+    tree: str
+    frequencies: np.ndarray = field(default_factory=lambda: np.full(4, 0.25))
+    exchange: np.ndarray = field(default_factory=lambda: np.full(6, 1 / 6))
+    shape: float = 1.0
+    invariable: float = 0.1
+
+    def log_likelihood(self, taxa: Sequence[str], sites: Sequence[tuple[str, int]]) -> float:
+        return log_likelihood(self.tree, taxa, sites, self.frequencies, self.exchange, self.shape, 4, self.invariable)
+
+    def log_prior(self, mean_length: float) -> float:
+        """Exponential branch lengths and shape; frequencies, exchangeabilities and the invariable share are flat."""
+        return -tree_length(self.tree) / mean_length - self.shape
+
+
+def tree_length(tree: str) -> float:
+    return sum(float(x) for x in re.findall(r":([0-9.eE+-]+)", tree))
+
+
+def _simplex(old: np.ndarray, rng: np.random.Generator, tuning: float) -> tuple[np.ndarray, float]:
+    """A draw around old from a Dirichlet distribution, and the log of the Hastings ratio."""
+    sharp = 200.0 / max(tuning, 1e-3)
+    new = np.maximum(rng.dirichlet(old * sharp + 1.0), 1e-6)
+    new /= new.sum()
+
+    def density(x: np.ndarray, centre: np.ndarray) -> float:
+        a = centre * sharp + 1.0
+        return float(((a - 1) * np.log(x)).sum()) + math.lgamma(a.sum()) - sum(math.lgamma(v) for v in a)
+
+    return new, density(old, new) - density(new, old)
+
+
+def _scaled(tree: str, factor: float) -> str:
+    return re.sub(r":([0-9.eE+-]+)", lambda m: f":{max(float(m[1]) * factor, 1e-8):.8g}", tree)
+
+
+def _moved(state: State, kind: str, rng: np.random.Generator, tuning: float) -> tuple[State, float]:
+    """A proposal of one kind and the log of its Hastings ratio."""
+    u = tuning * (rng.random() - 0.5)
+    if kind == "swap":
+        return replace(state, tree=_swap(state.tree, rng)), 0.0
+    if kind == "branch":
+        tree, ratio = _stretch(state.tree, rng, tuning)
+        return replace(state, tree=tree), ratio
+    if kind == "length":
+        return replace(state, tree=_scaled(state.tree, math.exp(u))), u * len(re.findall(r":", state.tree))
+    if kind == "shape":
+        return replace(state, shape=min(max(state.shape * math.exp(u), 0.05), 50.0)), u
+    if kind == "invariable":
+        x = abs(state.invariable + 0.2 * u)
+        return replace(state, invariable=min(2 - x if x > 1 else x, 0.99)), 0.0
+    name = {"frequencies": "frequencies", "exchange": "exchange"}[kind]
+    new, ratio = _simplex(getattr(state, name), rng, tuning)
+    return replace(state, **{name: new}), ratio
+
+
+#: Kinds of proposals with the share of steps that each is tried in.
+MOVES = {"swap": 0.25, "branch": 0.35, "length": 0.1, "shape": 0.08, "invariable": 0.06, "frequencies": 0.08, "exchange": 0.08}
+
+
+def coupled_chains(spark: SparkSession, start: str, taxa: Sequence[str], sites: Sequence[tuple[str, int]], runs: int = 2, heat: Sequence[float] = (1.0, 0.7, 0.5), steps: int = 200, burn_in: int = 50, every: int = 10, seed: int = 1, mean_length: float = 0.1, moves: dict[str, float] | None = None) -> DataFrame:
+    """(chain, step, tree, log_likelihood, log_prior, tree_length, shape, invariable, frequencies, exchange, swaps) samples of runs of heated chains.
+
+    The chains of a run target the posterior to the powers of heat, the first of which is 1, and after each step two of them
+    may change places; the first one is sampled. A run is sequential and is one task; runs go beside each other. Seeded: the
+    same call gives the same samples on any cluster.
+    """
+    if not heat or heat[0] != 1.0:
+        raise ValueError("the first chain is to be cold")
+    taxa, sites, powers = list(taxa), list(sites), list(heat)
+    kinds, shares = zip(*(moves or MOVES).items(), strict=True)
+    shares = np.array(shares) / sum(shares)
+
+    def run(batches):
+        for b in batches:
+            for k in b["id"]:
+                rng, tuning, swaps, out = np.random.default_rng([seed, int(k)]), dict.fromkeys(kinds, 1.0), 0, []
+                states = [State(start) for _ in powers]
+                score = [(s.log_likelihood(taxa, sites), s.log_prior(mean_length)) for s in states]
+                for step in range(steps + burn_in):
+                    for c, power in enumerate(powers):
+                        kind = kinds[int(rng.choice(len(kinds), p=shares))]
+                        new, ratio = _moved(states[c], kind, rng, tuning[kind])
+                        value = new.log_likelihood(taxa, sites), new.log_prior(mean_length)
+                        took = math.log(max(rng.random(), 1e-300)) < power * (sum(value) - sum(score[c])) + ratio
+                        if took:
+                            states[c], score[c] = new, value
+                        if step < burn_in:
+                            tuning[kind] = min(max(tuning[kind] * (1.02 if took else 1 / 1.01), 0.05), 4.0)
+                    if len(powers) > 1:
+                        i, j = (int(x) for x in rng.choice(len(powers), 2, replace=False))
+                        if math.log(max(rng.random(), 1e-300)) < (powers[i] - powers[j]) * (sum(score[j]) - sum(score[i])):
+                            states[i], states[j], score[i], score[j], swaps = states[j], states[i], score[j], score[i], swaps + 1
+                    if step >= burn_in and (step - burn_in) % every == 0:
+                        s = states[0]
+                        out.append((int(k), step - burn_in, s.tree, *score[0], tree_length(s.tree), s.shape, s.invariable, s.frequencies.tolist(), s.exchange.tolist(), swaps))
+                yield pd.DataFrame(out, columns=["chain", "step", "tree", "log_likelihood", "log_prior", "tree_length", "shape", "invariable", "frequencies", "exchange", "swaps"])
+
+    schema = "chain long, step long, tree string, log_likelihood double, log_prior double, tree_length double, shape double, invariable double, frequencies array<double>, exchange array<double>, swaps long"
+    return spark.range(0, runs, 1, runs).mapInPandas(run, schema)
+
+
 def topologies(samples: DataFrame, credible: float = 0.95) -> DataFrame:
     """(topology, n, share, credible): distinct split sets, the most frequent first, up to the share that makes a credible set."""
     from pyspark.sql import Window as W

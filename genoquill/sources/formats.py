@@ -360,6 +360,105 @@ def nexus(text: str) -> dict:
     return out
 
 
+def file_names(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path) of files that are passed on by name only."""
+    return spark.createDataFrame([(p,) for p in paths], "path string")
+
+
+def dbsnp(records: DataFrame, name: str, accept: Column | None = None) -> DataFrame:
+    """single_genome of the records that a caller's condition accepts; all without one."""
+    return single_genome(records if accept is None else records.where(accept), name)
+
+
+def genome(spark: SparkSession, fasta_path: str, gff_path: str) -> tuple[DataFrame, DataFrame]:
+    """contigs (contig_id, description, sequence, length) and features cut to them; features of unknown contigs are left out."""
+    from ..operators.features import clamp
+
+    contigs = fasta(spark, fasta_path).withColumn("length", F.length("sequence").cast("long"))
+    return contigs, clamp(gff3(spark, gff_path), contigs)
+
+
+def sample_attributes(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """Samples with a column per attribute, names in upper case; rows of another width than the header's and repeated samples are left out."""
+    t = spark.read.text(path).where(F.trim("value") != "")
+    first = t.first()
+    if first is None:
+        raise ValueError("no header")
+    names = [x.strip().upper() for x in first.value.split(sep)]
+    v = F.split("value", re.escape(sep), -1)
+    t = t.where(F.col("value") != first.value).select(v.alias("v")).where(F.size("v") == len(names))
+    return t.select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)]).dropDuplicates([names[0]])
+
+
+def samples_with(attributes: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Samples whose attribute is one of the values, such as those of a country, or field and preferred samples."""
+    return attributes.where(F.upper(F.trim(column)).isin([v.upper() for v in values])).select(attributes.columns[0])
+
+
+def checked_obo(spark: SparkSession, path: str, relations: tuple[str, ...] = RELATIONS) -> tuple[DataFrame, DataFrame]:
+    """obo of a file that begins with its format version; ValueError for others."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    if first is None or not first.value.startswith("format-version:"):
+        raise ValueError(f"{path} is no OBO file")
+    return obo(spark, path, relations)
+
+
+def property_lines(path: str, _open: tuple[str, ...] = ()) -> list[str]:
+    """The lines of an XML file with `#include "file"` lines replaced by that file's, relative to its folder; lines that begin with // go."""
+    import os
+
+    path = os.path.abspath(path)
+    if path in _open:
+        raise ValueError(f"{path} includes itself")
+    out: list[str] = []
+    with open(path, encoding="utf-8") as f:
+        for line in f.read().split("\n"):
+            if line.startswith("//"):
+                continue
+            if line.startswith("#include"):
+                out += property_lines(os.path.join(os.path.dirname(path), line.removeprefix("#include").strip().strip('"')), (*_open, path))
+            else:
+                out.append(line)
+    return out
+
+
+def properties(path: str) -> dict:
+    """A settings file (XML with includes, or JSON) as nested dicts; repeated tags become lists, leaves are texts. Read on the driver."""
+    import json
+    from xml.etree import ElementTree
+
+    if path.lower().endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+
+    def value(node):
+        if not len(node):
+            return (node.text or "").strip()
+        out: dict = {}
+        for child in node:
+            got = value(child)
+            if child.tag not in out:
+                out[child.tag] = got
+            elif isinstance(out[child.tag], list):
+                out[child.tag].append(got)
+            else:
+                out[child.tag] = [out[child.tag], got]
+        return out
+
+    root = ElementTree.fromstring("\n".join(property_lines(path)))
+    return {root.tag: value(root)}
+
+
+def request(url: str, body: bytes | None = None, allowed: bool = False, timeout: float = 30.0) -> bytes:
+    """The answer to one GET, or POST with a body, from the driver. Off unless allowed."""
+    from urllib import request as web
+
+    if not allowed:
+        raise PermissionError("requests are off")
+    with web.urlopen(web.Request(url, data=body), timeout=timeout) as answer:
+        return answer.read()
+
+
 def missing_from(cache: DataFrame, wanted: DataFrame, key: str = "pmid") -> DataFrame:
     """Keys that a cached table lacks."""
     return wanted.select(key).distinct().join(cache.select(key), key, "left_anti")
@@ -368,7 +467,7 @@ def missing_from(cache: DataFrame, wanted: DataFrame, key: str = "pmid") -> Data
 READERS: dict[str, Callable] = {
     "text": lines, "bgzf": bgzf_lines, "vcf": vcf_records, "fasta": fasta, "gff3": gff3, "flat": flat, "pf7_samples": pf7_samples, "pf7_fws": pf7_fws, "pf7_distances": pf7_distances, "citations_json": citations_json,
     "allele_citations": allele_citations, "bio_concepts": bio_concepts, "gaf": gaf, "entrez": entrez, "ensembl_hgnc": ensembl_hgnc, "uniprot": uniprot, "genealogy": genealogy, "people": people, "coi": coi,
-    "obo": obo, "obo_xml": obo_xml, "publications_xml": publications_xml, "similarity_matrix": similarity_matrix,
+    "obo": obo, "checked_obo": checked_obo, "obo_xml": obo_xml, "sample_attributes": sample_attributes, "file_names": file_names, "publications_xml": publications_xml, "similarity_matrix": similarity_matrix,
 }
 
 

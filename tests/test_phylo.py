@@ -38,3 +38,28 @@ def test_patterns_and_chains(spark):
     assert first == [tuple(r) for r in s.orderBy("chain", "step").collect()] and len(first) == 12
     assert max(r[3] for r in first) > P.log_likelihood(start, list("ABCD"), list(n.items()))
     assert abs(sum(r.share for r in P.topologies(s).collect()) - 1) < 1e-9
+
+
+def test_coupled_chains(spark, tmp_path):
+    from genoquill.sources import formats, sinks
+
+    sites = [("AAAA", 30), ("AACC", 12), ("ACAC", 2), ("GGTT", 6), ("CCCC", 20)]
+    taxa, start = list("ABCD"), "((A:0.1,C:0.1):0.1,(B:0.1,D:0.1):0.1);"
+    s = P.coupled_chains(spark, start, taxa, sites, runs=2, heat=(1.0, 0.4), steps=60, burn_in=40, seed=4)
+    rows = s.orderBy("chain", "step").collect()
+    assert rows == s.orderBy("chain", "step").collect() and len(rows) == 12
+    for r in rows:
+        assert abs(sum(r.frequencies) - 1) < 1e-9 and abs(sum(r.exchange) - 1) < 1e-9 and 0 <= r.invariable < 1 and r.shape > 0
+        assert abs(r.log_likelihood - P.log_likelihood(r.tree, taxa, sites, r.frequencies, r.exchange, r.shape, 4, r.invariable)) < 1e-6
+        assert abs(r.tree_length - P.tree_length(r.tree)) < 1e-9
+    assert max(r.swaps for r in rows) > 0 and max(r.log_likelihood for r in rows) > P.log_likelihood(start, taxa, sites)
+    sinks.chain_files(s, taxa, str(tmp_path / "out"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out" / "trees")).collect())
+    assert text.startswith("#nexus") and len(formats.nexus(text)["trees"]) == 6
+
+
+def test_dirichlet_steps_keep_the_balance():
+    rng, old = np.random.default_rng(1), np.array([0.1, 0.2, 0.3, 0.4])
+    new, ratio = P._simplex(old, rng, 1.0)
+    assert abs(new.sum() - 1) < 1e-12
+    assert P._moved(P.State("(A:1,B:2);"), "length", rng, 1.0)[1] != 0

@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from genoquill.sources import formats as R
 
@@ -79,3 +80,45 @@ def test_ontology_and_tables(spark, tmp_path):
     assert R.similarity_matrix(spark, m).count() == 4
     with pytest.raises(KeyError):
         R.read(spark, "nothing", m)
+
+
+def test_settings_with_includes(tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.xml").write_text("<item><name>two</name></item>\n//<item/>\n")
+    put(tmp_path, "a.xml", '<run>\n<item><name>one</name></item>\n#include "sub/b.xml"\n//#include "none.xml"\n<size> 7 </size>\n</run>\n')
+    assert R.properties(str(tmp_path / "a.xml")) == {"run": {"item": [{"name": "one"}, {"name": "two"}], "size": "7"}}
+    put(tmp_path, "c.xml", '#include "c.xml"\n')
+    with pytest.raises(ValueError):
+        R.properties(str(tmp_path / "c.xml"))
+    put(tmp_path, "s.json", '{"a": {"b": 1}}')
+    assert R.properties(str(tmp_path / "s.json")) == {"a": {"b": 1}}
+    with pytest.raises(PermissionError):
+        R.request("http://localhost/")
+
+
+def test_attributes_and_genome(spark, tmp_path):
+    a = put(tmp_path, "aux.tsv", "sample\tCountry \tField\ns1\tGhana\tTRUE\ns2\tMali\tFALSE\ns2\tMali\tFALSE\nbad\n")
+    t = R.sample_attributes(spark, a)
+    assert t.columns == ["SAMPLE", "COUNTRY", "FIELD"] and t.count() == 2
+    assert [r.SAMPLE for r in R.samples_with(t, "COUNTRY", ["ghana"]).collect()] == ["s1"]
+    fa, gf = put(tmp_path, "g.fa", ">c1\nACGTAC\n"), put(tmp_path, "g.gff", "c1\tx\tgene\t2\t90\t.\t+\t.\tID=g\nc9\tx\tgene\t2\t90\t.\t+\t.\tID=h\n")
+    contigs, features = R.genome(spark, fa, gf)
+    assert [(r.contig_id, r.length) for r in contigs.collect()] == [("c1", 6)]
+    assert [(r.feature_id, r.lower, r.upper) for r in features.collect()] == [("g", 1, 6)]
+    o = put(tmp_path, "x.obo", "[Term]\nid: T:1\n")
+    with pytest.raises(ValueError):
+        R.checked_obo(spark, o)
+    assert [r.path for r in R.file_names(spark, "a", "b").collect()] == ["a", "b"]
+
+
+def test_report_layouts(spark, tmp_path):
+    from genoquill.operators import filters
+    from genoquill.sources import sinks
+
+    df = spark.createDataFrame([("c", "g1", 3, ["E1", "E2"], 9)], "contig_id string, symbol string, span int, ensembl array<string>, extra int")
+    sinks.gene_mutation_report(df, str(tmp_path / "genes"))
+    r = spark.read.option("header", True).csv(str(tmp_path / "genes"))
+    assert r.columns == ["Contig", "Ensembl_id", "Symbol_id", "Span", "extra"] and r.first().Ensembl_id == "E1&E2"
+    line = df.select(sinks.evidence("|", Span="span", Other=F.lit(None)).alias("x")).first().x
+    assert line == "|Span:3|Other:No"
+    assert df.where(filters.variant_only("homozygous_offsets")).count() == 0 and df.where(filters.variant_only(F.col("span") == 3)).count() == 1
