@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters that are handled at once; longer parts are searched one by one.
@@ -466,7 +468,7 @@ def encode_rows(docs: DataFrame, text_col: str = "text", n: int = 4, path: str =
                 rest = [pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids, *[pa.array(c, k) for c, k in zip(columns[1:], rest)]], names=schema.names)
 
-    return docs.select(*[f.name for f in kept], F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(*[f.name for f in kept], F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = MODEL) -> DataFrame:
@@ -479,4 +481,4 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=schema.names)
 
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, schema)
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(lean(run), schema)

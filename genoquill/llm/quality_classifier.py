@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: Bounds of what is learned from: labelled documents, hashed features, latent dimensions, neighbours.
 MOST_LABELLED, BUCKETS, DIMS, NEIGHBOURS, SHARPNESS = 4000, 4096, 48, 25, 4
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c for c in range(256))
@@ -148,8 +150,9 @@ def scorer(spark: SparkSession, model: Model):
         for texts in batches:
             yield pa.array(shared.value.score(texts), pa.float64())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, T.DoubleType())
+    score_batches = lean(run)
+    score_batches.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(score_batches, T.DoubleType())
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:

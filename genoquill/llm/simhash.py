@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import made, materialize, release
+from .common import lean, made, materialize, release
 from .components import connected_components
 
 WIDTH, SEED, BITS = 4, 42, 64
@@ -158,7 +158,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width, seed) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=[id_col, "fp"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def block_masks(blocks: int, shared: int) -> list[int]:
@@ -209,7 +209,7 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None) -> DataF
             a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return twos.union(tiles.select("fps").mapInArrow(run, "a long, b long")).distinct()
+    return twos.union(tiles.select("fps").mapInArrow(lean(run), "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = WIDTH, seed: int = SEED, blocks: int | None = None) -> DataFrame:
@@ -303,7 +303,7 @@ def _read_nodes(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]
                         got.append((*_set_digest(own, seed), len(own), _majority(h)))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in zip(*got, strict=True)]], names=schema.names)
 
-        own = materialize(rows.select("id", "row", "raw").mapInArrow(run, schema), "own")
+        own = materialize(rows.select("id", "row", "raw").mapInArrow(lean(run), schema), "own")
         nodes = own.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("check").alias("lo"), F.max("check").alias("hi"))
         nodes = materialize(nodes, "nodes")
         if nodes.where("lo <> hi").isEmpty():
@@ -335,7 +335,7 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
                 key, n = np.unique(np.concatenate(h), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    sampled = raw.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < share * (1 << 20)).select("raw").mapInArrow(shingles, "key long, n long")
+    sampled = raw.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < share * (1 << 20)).select("raw").mapInArrow(lean(shingles), "key long, n long")
     often = sampled.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(MOST_OFTEN).toArrow()
     keys = often["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -370,12 +370,14 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # A bucket's members in an order of its own: the first and the last of them are held against the others.
     place = F.col("node").bitwiseXOR(F.col("key"))
-    keyed = raw.select("raw").mapInArrow(buckets_of(None), "key long, node long")
+    keyed = raw.select("raw").mapInArrow(lean(buckets_of(None)), "key long, node long")
     buckets = keyed.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
     buckets = materialize(buckets.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("a"), F.col("hi").bitwiseXOR(F.col("key")).alias("z")), "buckets")
     seen = spark.sparkContext.broadcast(_bitmap(buckets, buckets.count()))
-    members = raw.select("raw").mapInArrow(buckets_of(seen), "key long, node long").join(buckets, "key")
+    members = raw.select("raw").mapInArrow(lean(buckets_of(seen)), "key long, node long").join(buckets, "key")
     members = materialize(members.groupBy("key", "node").agg(F.first("a").alias("a"), F.first("z").alias("z")), "members")
+    seen.unpersist()
+    common.unpersist()
     block = F.col("key").bitwiseAND(F.lit(1).cast("long"))
     needed = lambda c: F.least(F.lit(COMMON), F.ceil(similarity * F.col(f"{c}_size") - 1e-9))
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("fp").alias(f"{c}_fp"))
@@ -400,8 +402,9 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
                     node, own = [_set_digest(x, seed)[0] for x in found], [x.tobytes() for x in found]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(own, pa.binary())], names=["row", "node", "own"])
 
-        found = raw.select("row", "raw", F.xxhash64("row").alias("key")).mapInArrow(sets, "row long, node long, own binary")
+        found = raw.select("row", "raw", F.xxhash64("row").alias("key")).mapInArrow(lean(sets), "row long, node long, own binary")
         found = materialize(found.join(ends.select("row"), "row", "left_semi").select("node", "own"), "sets")
+        wanted.unpersist()
         both = pairs.select("a", "b").join(found.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +412,7 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
             for b in batches:
                 yield b.select(["a", "b"]).filter(pa.array([similar(hashes(x), hashes(y), similarity) for x, y in zip(b.column("x"), b.column("y"), strict=True)], pa.bool_()))
 
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(lean(check), "a long, b long"), "links")
 
     def ordered(pairs: DataFrame, *more) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
@@ -450,7 +453,7 @@ def similar_components(rows: DataFrame, id_col: str = "doc_id", text_col: str =
                     if fit.any():
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(int(fit.sum()), node[k])), pa.array(node[fit])], names=["a", "b"])
 
-    rest = tiles.select("i", "j", "m").mapInArrow(across, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"), F.lit(0).alias("blocks"))
+    rest = tiles.select("i", "j", "m").mapInArrow(lean(across), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"), F.lit(0).alias("blocks"))
     untested = materialize(candidates(rest).join(tested, ["a", "b"], "left_anti"), "rest")
     every = connected_components(links.union(verified(untested)), "a", "b").select(F.col("node").alias("_n"), "root")
     placed = nodes.join(every, nodes["node"] == every["_n"], "left").select("least", F.coalesce("root", "node").alias("root"))
