@@ -101,10 +101,10 @@ def test_attributes_and_genome(spark, tmp_path):
     t = R.sample_attributes(spark, a)
     assert t.columns == ["SAMPLE", "COUNTRY", "FIELD"] and t.count() == 2
     assert [r.SAMPLE for r in R.samples_with(t, "COUNTRY", ["ghana"]).collect()] == ["s1"]
-    fa, gf = put(tmp_path, "g.fa", ">c1\nACGTAC\n"), put(tmp_path, "g.gff", "c1\tx\tgene\t2\t90\t.\t+\t.\tID=g\nc9\tx\tgene\t2\t90\t.\t+\t.\tID=h\n")
+    fa, gf = put(tmp_path, "g.fa", ">c1\nACGTAC\n"), put(tmp_path, "g.gff", "c1\tx\tgene\t3\t90\t.\t+\t.\tID=g\nc9\tx\tgene\t2\t90\t.\t+\t.\tID=h\n")
     contigs, features = R.genome(spark, fa, gf)
     assert [(r.contig_id, r.length) for r in contigs.collect()] == [("c1", 6)]
-    assert [(r.feature_id, r.lower, r.upper) for r in features.collect()] == [("g", 1, 6)]
+    assert [(r.feature_id, r.lower, r.upper) for r in features.collect()] == [("g", 2, 6)]
     o = put(tmp_path, "x.obo", "[Term]\nid: T:1\n")
     with pytest.raises(ValueError):
         R.checked_obo(spark, o)
