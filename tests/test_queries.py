@@ -26,7 +26,7 @@ def normal(rows, names):
 
 
 #: Those that take long in the small are compared by hand at sf0.01 with the others.
-QUICK = ["snp_pass_by_contig", "canonical_form", "modify_filter", "homozygous_offsets", "coding_highest_af", "template_semi_join", "allele_summary_by_variant", "af_bins_fws", "zygosity_by_genome", "gini_hrel_iqv", "tile_stats", "tile_gaps", "percentile_index", "interval_union", "citation_percent", "ancestor_closure", "similarity_lin", "inbreeding_ritland", "translation"]
+QUICK = ["snp_pass_by_contig", "canonical_form", "modify_filter", "homozygous_offsets", "coding_highest_af", "template_semi_join", "allele_summary_by_variant", "af_bins_fws", "zygosity_by_genome", "gini_hrel_iqv", "tile_stats", "tile_gaps", "percentile_index", "interval_union", "citation_percent", "ancestor_closure", "similarity_lin", "inbreeding_ritland", "translation", "interval_join_genes", "gene_carriers", "spaced_loci", "upstream_delete_filter", "graph_components", "frontier_information", "vcf_round_trip", "gff_round_trip", "obo_edges", "offset_translation", "clinvar_genes", "tile_info", "kmers_and_motifs"]
 
 
 @pytest.mark.parametrize("name", QUICK)
