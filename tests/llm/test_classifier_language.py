@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -60,7 +61,8 @@ def test_language_against_plain_computation(spark):
     k = 4
     everything = sum(post.values())
     p0 = (everything + 1) / (everything.sum() + k)
-    said = {p.page_id: (m[1].lower()[:2] if (m := L._DECLARED.search(p.html or "")) else "") for p in src}
+    tag = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+    said = {p.page_id: (m[1].lower() if (m := tag.search(p.html or "")) else "") for p in src}
 
     def claims(codes):
         names = [*model.languages, "other"]
