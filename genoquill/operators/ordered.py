@@ -21,30 +21,30 @@ def _index(n: Column, p: float) -> Column:
 
 
 def _counted(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """(by, column, n, before, _all): rows of each value, rows of smaller values, and all rows of the key. Nulls are left out.
+    """(by, column, _n, _before, _all): rows of each value, rows of smaller values, and all rows of the key. Nulls are left out.
 
     Values are counted first and then dealt by range, so that neither a key nor a frequent value becomes one task: what a range
     holds below a value is a running sum in the range, and only the ranges' totals meet by key.
     """
-    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
     n = stored(n.repartitionByRange(F.col(column)).withColumn("_range", F.spark_partition_id()), "counts")
-    per = n.groupBy(*by, "_range").agg(F.sum("n").alias("_sum"))
+    per = n.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     per = per.withColumn("_offset", F.coalesce(F.sum("_sum").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_sum").over(whole))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy(*by, "_range").orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_n").over(W.partitionBy(*by, "_range").orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     t = n.withColumn("_inside", inside).alias("t")
     per = per.alias("o")
     same = F.col("t._range") == F.col("o._range")
     for c in by:
         same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"o.{c}"))
-    return t.join(per, same).select(*[F.col(f"t.{c}") for c in (*by, column, "n")], (F.col("_inside") + F.col("_offset")).alias("before"), "_all")
+    return t.join(per, same).select(*[F.col(f"t.{c}") for c in (*by, column, "_n")], (F.col("_inside") + F.col("_offset")).alias("_before"), "_all")
 
 
 def percentiles(df: DataFrame, column: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, p, value): the sorted value at the percentile's index. Nulls are left out."""
-    q = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), _index(F.col("_all"), p).alias("i")) for p in ps])).alias("q")
-    t = _counted(df, column, by).select(*by, column, "before", "n", q)
-    return t.where("q.i >= before AND q.i < before + n").select(*by, F.col("q.p").alias("p"), F.col(column).alias("value"))
+    q = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), _index(F.col("_all"), p).alias("i")) for p in ps])).alias("_q")
+    t = _counted(df, column, by).select(*by, column, "_before", "_n", q)
+    return t.where("_q.i >= _before AND _q.i < _before + _n").select(*by, F.col("_q.p").alias("p"), F.col(column).alias("value"))
 
 
 def _between(df: DataFrame, column: str, lowest, highest, by: Sequence[str]) -> DataFrame:
@@ -53,12 +53,12 @@ def _between(df: DataFrame, column: str, lowest, highest, by: Sequence[str]) ->
     Of rows of one value that a bound cuts, those of the smallest hashes come first.
     """
     c = _counted(df, column, by).withColumns({"_lo": lowest(F.col("_all")), "_hi": highest(F.col("_all"))})
-    c = c.where((F.col("before") < F.col("_hi")) & (F.col("before") + F.col("n") > F.col("_lo")))
-    cut = c.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate((*by, column))], (F.col("_lo") - F.col("before")).alias("_from"), (F.col("_hi") - F.col("before")).alias("_to"), "n")
+    c = c.where((F.col("_before") < F.col("_hi")) & (F.col("_before") + F.col("_n") > F.col("_lo")))
+    cut = c.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate((*by, column))], (F.col("_lo") - F.col("_before")).alias("_from"), (F.col("_hi") - F.col("_before")).alias("_to"), "_n")
     same = F.lit(True)
     for i, k in enumerate((*by, column)):
         same = same & df[k].eqNullSafe(F.col(f"_k{i}"))
-    t = df.join(cut, same).withColumn("_whole", (F.col("_from") <= 0) & (F.col("_to") >= F.col("n")))
+    t = df.join(cut, same).withColumn("_whole", (F.col("_from") <= 0) & (F.col("_to") >= F.col("_n")))
     edge = t.where(~F.col("_whole")).withColumn("_at", F.row_number().over(W.partitionBy(*[f"_k{i}" for i in range(len(by) + 1)]).orderBy(F.xxhash64(*df.columns))) - 1)
     edge = edge.where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
     return t.where("_whole").select(*df.columns).union(edge.select(*df.columns))

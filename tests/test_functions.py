@@ -50,6 +50,15 @@ def test_percentiles(spark, n):
     assert ordered.geq_count(t, "x", 99).first()[0] == 1
 
 
+@pytest.mark.parametrize("name", ["n", "before", "q"])
+def test_percentiles_of_a_column_of_any_name(spark, name):
+    t = spark.createDataFrame([(i, i % 2) for i in range(10)], f"{name} long, k long")
+    assert {r.p: r.value for r in ordered.percentiles(t, name, [0.0, 0.5, 1.0]).collect()} == {0.0: 0, 0.5: 5, 1.0: 9}
+    assert {(r.k, r.value) for r in ordered.percentiles(t, name, [0.5], ["k"]).collect()} == {(0, 4), (1, 5)}
+    assert {(r[name], r.value) for r in ordered.percentiles(t, "k", [0.5], [name]).collect()} == {(i, i % 2) for i in range(10)}
+    assert sorted(r[0] for r in ordered.percentile_range(t, name, 0.2, 0.6).collect()) == [2, 3, 4, 5]
+
+
 def test_summary_leaves_out_other_counts(spark):
     rows = [("A", 1), ("B", 2), ("B", 2), ("D", 3), ("D", 3), ("D", 3)]
     t = spark.createDataFrame([(g, "C", 5, "A", "C") for g, _ in rows], "genome_id string, contig_id string, pos long, ref string, alt string")
