@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -138,3 +139,38 @@ def test_what_is_dropped_is_kept_elsewhere(spark):
     for _, t in rows:
         for w in map(masked, (t or "").split("\n")):
             assert len(w) < 5 or min(sum(x != y for x, y in zip(w, k)) for k in kept[len(w)]) <= min(3, max(1, len(w) // 10))
+
+
+def greedy(docs):
+    """By document the number of lines that go: copies, and lines close to an earlier line of a template that stays."""
+    first, holders = {}, defaultdict(set)
+    for d in sorted(docs):
+        for w in map(masked, d[1].split("\n")):
+            if len(w) >= 5:
+                first.setdefault(w, d[0])
+                holders[w].add(d[0])
+    kept, stay = {}, []
+    for w, d in first.items():
+        half = 3 + -(-(len(w) - 3) // 2)
+        share = lambda o: len(o) == len(w) >= 8 and (o[:half] == w[:half] or o[:3] + o[half:] == w[:3] + w[half:])  # noqa: B023, E731
+        to = [first[o] for o in stay if share(o) and sum(x != y for x, y in zip(w, o)) <= min(3, max(1, len(w) // 10))]
+        kept[w] = to[0] if to else d
+        if not to:
+            stay.append(w)
+    return {i: sum(kept.get(masked(x), i) != i for x in t.split("\n")) for i, t in docs}
+
+
+def test_variants_of_any_line_of_a_template_go(spark, monkeypatch):
+    base = "alpha beta gamma delta epsilon zeta eta"
+    rows = list(enumerate([f"{base} one two three", f"{base} five six seven", f"{base} five six OTHER", f"{base} five THIRD seven", f"{base} five SO OTHER", f"{base} far six away"]))
+    assert {r[0]: r[3] for r in run(spark, rows)} == greedy(rows) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+    rng = random.Random(5)
+    word = lambda: rng.choice(["ka", "lo", "mi", "nu", "pe"])
+    many = [" ".join(["alpha", "beta", word(), *[w if rng.random() < 0.85 else word() for w in ["so", "ti", "va", "we"] * rng.choice([2, 2, 5, 9])]]) for _ in range(400)]
+    rows = list(enumerate(many))
+    want = greedy(rows)
+    assert sum(want.values()) > 20
+    for most in (64, 0):
+        monkeypatch.setattr(line_dedup, "MOST_PAIRS", most)
+        assert {r[0]: r[3] for r in run(spark, rows)} == want
+        monkeypatch.undo()
