@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from genoquill.llm import simhash as S
@@ -143,6 +144,22 @@ def test_keep_one_finds_every_pair_at_the_threshold(spark):
     assert kept == brute_kept(docs)
 
 
+@pytest.mark.parametrize(("share", "most"), [(0.0, 10), (1 / 16, 1_000_000), (1.0, 10), (1.0, 0)])
+def test_the_sample_orders_shingles_only(spark, monkeypatch, share, most):
+    """What stays is the same whichever shingles a sample holds, none included."""
+    for name, value in (("SAMPLE", share), ("LEAST_SAMPLE", 0), ("MOST_OFTEN", most), ("OFTEN", 1)):
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(6)
+    docs = []
+    for g in range(60):
+        base = "a passage that many of the texts hold word by word".split() * (g % 2) + [f"w{rng.randrange(400)}" for _ in range(60 + g)]
+        words = list(base)
+        words[-1 - rng.randrange(8) :] = ["end"]
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(words))]
+    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == brute_kept(docs) and 60 <= len(kept) < 120
+
+
 def test_keep_one_with_a_hot_group(spark, monkeypatch):
     """Near copies in a chain, others that share a passage, on tiles of a few."""
     monkeypatch.setattr(S, "TILE", 8)
