@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, made, materialize, release
 
 DEPTH, LEAST_WORDS = 3, 5
 MASK = "<*>"
@@ -158,13 +158,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what \\n separates; those that stay keep their order and bytes. A line of fewer than least_words tokens is
     never dropped, so empty lines stay. Lines that are equal with their variable fields masked are copies; the document of
     the smallest id keeps them. A line also goes if an earlier one that shares a template with it stays and differs from it
-    in MOST_DIFFERING tokens at most (see there), whichever lines of the template that are; it stays in the document that
+    in MOST_DIFFERING tokens at most (see there), whichever line of the template that is; it stays in the document that
     keeps that one.
 
     A document is what has an id and a text: rows that are equal in both are one and keep the same lines, rows that share
     an id (or have none) but differ in text are documents of their own. Null ids come behind all others. A null text stays
     null (0 lines). Columns of docs named n_lines or n_dropped are replaced. An empty table gives an empty result.
     """
+    before = made()
     lines = parsed_lines(docs, id_col, text_col, least_words)
     long = F.col("n") >= 2 * DEPTH + 2
     held = materialize(lines.select("id", "h", "pos", "a", "b", long.alias("long"), F.when(long, F.col("line")).alias("line")), "lines")
@@ -179,9 +180,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shown = _sifted(held.where("long"), places, "id", "h", "pos").join(at, here).select("a", "b", "line").dropDuplicates(["a", "b"])  # a line where it first stands
     shown = materialize(shown, "shown")
     near = _variants(_buckets(sharing, shown), shown)
+    held = materialize(held.select("id", "h", "pos", "a", "b"), "places")
+    release(docs.sparkSession, held, first, near, since=before)  # above all the lines' text
     keeper = first.select(F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.col("first").alias("kept"))
     gone = near.join(keeper, ["to_a", "to_b"]).groupBy("a", "b").agg(F.min("kept").alias("kept"))
     copies = first.where("again").select("a", "b", "first").join(gone, ["a", "b"], "full").select("a", "b", F.coalesce("kept", "first").alias("kept"))
     here = F.struct("id", "h").eqNullSafe(F.struct("kept.id", "kept.h"))
-    lost = held.drop("line").join(copies, ["a", "b"]).where(~here).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("pos").alias("_lost"))
+    lost = held.join(copies, ["a", "b"]).where(~here).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("pos").alias("_lost"))
     return _without(docs, lost, id_col, text_col)
