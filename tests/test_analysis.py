@@ -101,6 +101,31 @@ def test_disjoint_common_ancestors(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_pairs_by_classes_of_terms(spark):
+    """Pairs looked up by the classes of their terms against each pair measured by itself."""
+    rnd = random.Random(4)
+    edges = graph(rnd, 12)
+    inner = sorted({p for _, p in edges})
+    for i in range(25):  # leaves that share their parents, some of them with an edge past a parent
+        edges += [(f"leaf{i}", p) for p in rnd.sample(inner[:4], 1 + i % 2)]
+    edges = sorted(set(edges))
+    terms = sorted({t for e in edges for t in e})
+    e = spark.createDataFrame(edges, EDGE)
+    c = G.closure(e)
+    ic = spark.createDataFrame([(t, 0.5 + k / 7) for k, t in enumerate(terms) if k % 9], "term string, ic double")
+    asked = set(terms[::3])
+    t = spark.createDataFrame([(x, x in asked) for x in [*terms, "unknown"]], "term string, asked boolean")
+    asked_pairs = sorted({(min(x, y), max(x, y)) for x in asked for y in [*terms, "unknown"]})
+    pairs = spark.createDataFrame(asked_pairs, "a string, b string")
+    assert G.classes(c).select("low").distinct().count() < len(terms)
+    for f in (lambda p: G.frontier(e, c, ic, p), lambda p: G.disjoint_common(e, c, ic, p), lambda p: G.pekar_staab(e, c, p)):
+        got, want = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in x.select(sorted(x.columns)).collect()) for x in (G.among(c, t, f), f(pairs)))
+        assert got == want
+    got, want = G.similarity_among(c, ic, t), G.similarity(c, ic, pairs)
+    got, want = (sorted((r.a, r.b, *[round(r[m], 9) for m in G.MEASURES]) for r in x.collect()) for x in (got, want))
+    assert got == want and len(got) == len(asked_pairs)
+
+
 @pytest.mark.parametrize("by", [(), ("k",)])
 def test_percentiles_and_slices(spark, by):
     rng = random.Random(2)
