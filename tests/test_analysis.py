@@ -126,6 +126,24 @@ def test_pairs_by_classes_of_terms(spark):
     assert got == want and len(got) == len(asked_pairs)
 
 
+def test_sets_by_ancestors(spark, monkeypatch):
+    """Matrices of two sets against the pairs of their terms, the matrices whole and cut to a row."""
+    rnd = random.Random(6)
+    edges = graph(rnd, 20)
+    terms = [f"t{i}" for i in range(20)] + ["unknown"]
+    c = G.closure(spark.createDataFrame(edges, EDGE))
+    ic = spark.createDataFrame([(t, k / 7) for k, t in enumerate(terms[:20]) if k % 6], "term string, ic double")
+    sets = spark.createDataFrame([(f"s{i}", t) for i in range(6) for t in rnd.sample(terms, 1 + 2 * i)], "set string, term string")
+    pairs = spark.createDataFrame([(f"s{i}", f"s{j}") for i in range(6) for j in (1, 4, 5)], "x string, y string")
+    all_pairs = spark.createDataFrame(list(itertools.combinations_with_replacement(sorted(terms), 2)), "a string, b string")
+    for measure, cells in (("lin", G.CELLS), ("jiang_conrath", 1)):
+        monkeypatch.setattr(G, "CELLS", cells)
+        whole = [G._compared((np.arange(3), np.ones(3), np.ones(3, int), np.array([7, 8, 7]), np.array([0.5, 0.9, 0.5])), (np.arange(1, 3), np.ones(2), np.ones(2, int), np.array([8, 7]), np.array([0.9, 0.5])), measure, 2.0)]
+        assert whole[0][1] == (1.0 if measure == "lin" else 0.9)
+        rows = [sorted((r.x, r.y, *[round(v, 9) for v in r[2:]]) for r in t.collect()) for t in (G.set_similarity_of(sets, pairs, c, ic, measure), G.set_similarity(sets, pairs, G.similarity(c, ic, all_pairs, [measure]), measure))]
+        assert rows[0] == rows[1] and len(rows[0]) == 18
+
+
 @pytest.mark.parametrize("by", [(), ("k",)])
 def test_percentiles_and_slices(spark, by):
     rng = random.Random(2)
