@@ -144,6 +144,17 @@ def test_sets_by_ancestors(spark, monkeypatch):
         assert rows[0] == rows[1] and len(rows[0]) == 18
 
 
+def test_graph_similarity_by_hand(spark):
+    """Sets with a term twice, with unknown and with no terms."""
+    c = G.closure(spark.createDataFrame([("a", "r"), ("b", "r"), ("d", "a")], EDGE))
+    ic = spark.createDataFrame([("r", 0.0), ("a", 1.0), ("b", 2.0)], "term string, ic double")
+    sets = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b"), ("t", "d"), ("t", "new"), ("u", None)], "set string, term string")
+    pairs = spark.createDataFrame([("s", "t"), ("s", "s"), ("s", "none"), ("t", "u"), ("u", "u")], "x string, y string")
+    got = {(r.x, r.y): tuple(r)[2:] for r in G.graph_similarity(sets, pairs, c, ic).collect()}
+    assert got == {("s", "t"): (0.0, 0.5, 1 / 3, 0.5, 1 / 3), ("s", "s"): (1.0,) * 5, ("s", "none"): (0.0,) * 5, ("t", "u"): (0.0,) * 5, ("u", "u"): (0.0,) * 5}
+    assert "_xt" in G.graph_similarity(sets, pairs, c, ic)._jdf.queryExecution().optimizedPlan().toString()  # sets meet as arrays
+
+
 @pytest.mark.parametrize("by", [(), ("k",)])
 def test_percentiles_and_slices(spark, by):
     rng = random.Random(2)
