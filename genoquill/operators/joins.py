@@ -137,6 +137,26 @@ def proximity(genes: DataFrame, distance: int, start: str = "lower") -> DataFram
     return a.join(b, ["contig_id", "_bin"]).where((F.col("gene_id") != F.col("near_id")) & (F.abs(F.col("at") - F.col("near_at")) <= distance)).drop("_bin")
 
 
+def proximity_totals(genes: DataFrame, distance: int, start: str = "lower") -> DataFrame:
+    """One row (n, apart): number of the pairs of proximity, for a distance of 1 at least, and the sum of their distances.
+
+    Genes are counted by place and the places are joined, so that no pair of genes is a row; of those counts the pairs that share
+    a name are taken off again.
+    """
+    g = genes.where(F.col("gene_id").isNotNull()).groupBy("contig_id", "gene_id", F.col(start).alias("at")).agg(F.count("*").alias("k"))
+    g = stored(g.withColumn("_bin", F.floor(F.col("at") / distance)), "places")
+
+    def totals(t: DataFrame, on: Sequence[str]) -> DataFrame:
+        near = t.select(*on, F.col("at").alias("near_at"), F.col("k").alias("m"), F.explode(F.array(*[F.col("_bin") + i for i in (-1, 0, 1)])).alias("_bin"))
+        both = t.join(near, [*on, "_bin"]).withColumn("_d", F.abs(F.col("at") - F.col("near_at"))).where(F.col("_d") <= distance)
+        return both.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in (("n", F.col("k") * F.col("m")), ("apart", F.col("k") * F.col("m") * F.col("_d")))])
+
+    places = totals(g.groupBy("contig_id", "at", "_bin").agg(F.sum("k").alias("k")), ["contig_id"])
+    same = totals(g, ["contig_id", "gene_id"]).withColumnsRenamed({"n": "_n", "apart": "_apart"})
+    left = lambda c: (F.col(c) - F.col(f"_{c}")).cast("long")
+    return places.crossJoin(same).select(left("n").alias("n"), F.when(left("n") > 0, left("apart")).alias("apart"))  # one row each
+
+
 def citation_join(variants: DataFrame, citations: DataFrame) -> DataFrame:
     """Distinct identifiers of variants with the sorted pmids that cite them (citations: rsid, pmid); empty if none."""
     ids = variants.where("identifier <> ''").select("identifier").distinct()

@@ -155,6 +155,18 @@ def test_graph_similarity_by_hand(spark):
     assert "_xt" in G.graph_similarity(sets, pairs, c, ic)._jdf.queryExecution().optimizedPlan().toString()  # sets meet as arrays
 
 
+def test_near_genes_are_counted(spark):
+    """Totals against the list of pairs: shared places, a gene at several places, unknown names; and no join of the genes themselves."""
+    rnd = random.Random(2)
+    rows = [(f"c{rnd.randrange(2)}", f"g{rnd.randrange(25)}", rnd.randrange(-20, 40)) for _ in range(80)] + [("c0", None, 3), ("c0", "g1", None)]
+    genes = spark.createDataFrame(rows, "contig_id string, gene_id string, lower long")
+    for distance in (1, 5):
+        pairs = [abs(x[2] - y[2]) for x in rows[:80] for y in rows[:80] if x[0] == y[0] and x[1] != y[1] and abs(x[2] - y[2]) <= distance]
+        assert tuple(J.proximity_totals(genes, distance).first()) == (len(pairs), sum(pairs))
+        assert J.proximity(genes, distance).count() == len(pairs)
+    assert tuple(J.proximity_totals(genes.limit(1), 5).first()) == (0, None)
+
+
 @pytest.mark.parametrize("by", [(), ("k",)])
 def test_percentiles_and_slices(spark, by):
     rng = random.Random(2)
