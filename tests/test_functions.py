@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,21 @@ def test_trees(spark):
     text = trees.newick(rows)
     assert sorted(r[2] for r in trees.parse_newick(text) if r[2]) == ["0", "1", "2", "3"]
     assert trees.parse_newick("((A:1,B:2):3,C:4);")[0] == (0, None, None, 0.0)
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    """Blocks of a few vectors against all pairs: copies, other lengths, nulls, a key without and one with an unknown vector."""
+    monkeypatch.setattr(trees, "BLOCK", 5)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(23)] + [(30, [1.0]), (31, [None, 1.0, 1.0, 1.0]), (None, [0.0] * 4), (32, None)]
+    items = spark.createDataFrame(rows, "k long, v array<float>")
+    known = {k: v for k, v in rows if k is not None}
+    want = {(i, j): None if i > 29 else math.dist(known[i], known[j]) for i in known for j in known if i > j}
+    got = {(r.i, r.j): r.d for r in trees.euclidean(items, "k", "v").collect()}
+    assert got.keys() == want.keys() and all(got[p] is None if want[p] is None else abs(got[p] - want[p]) < 1e-12 for p in want)
+    both = {(i, j): want[max(i, j), min(i, j)] for i in range(23) for j in range(23) if i != j}
+    most = max(both.values())
+    near = {i: min((d, j) for (a, j), d in both.items() if a == i) for i in range(23)}
+    got = {r.i: (r.nearest, round(r.d, 9)) for r in trees.nearest_vectors(items, "k", "v").collect()}
+    assert got == {i: (j, round(d / most, 9)) for i, (d, j) in near.items()}
+    assert trees._blocks(items, "k", "v").count() > 6  # one row for two blocks, and no pair of items before the matrices
