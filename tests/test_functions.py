@@ -131,3 +131,22 @@ def test_vectors_in_blocks(spark, monkeypatch):
     got = {r.i: (r.nearest, round(r.d, 9)) for r in trees.nearest_vectors(items, "k", "v").collect()}
     assert got == {i: (j, round(d / most, 9)) for i, (d, j) in near.items()}
     assert trees._blocks(items, "k", "v").count() > 6  # one row for two blocks, and no pair of items before the matrices
+
+
+def test_tree_of_more_vectors_than_a_matrix_may_have(spark, monkeypatch):
+    v = np.random.default_rng(3).normal(size=(60, 3))
+    d = np.sqrt(((v[:, None] - v) ** 2).sum(2))
+    want = sorted((r[4], round(r[3], 9)) for r in trees.cluster(list(range(60)), d))
+    for held in (1 << 29, 0):  # all sums kept, and only a few
+        label = [{i} for i in range(60)]
+        for a, b, _ in trees.chain(v, held):
+            label[a] = label[b] = label[a] | label[b]
+            for m in label[a]:
+                label[m] = label[a]
+        assert len(label[0]) == 60
+        assert [round(h, 9) for _, _, h in trees.chain(v, held)] == sorted(h for n, h in want if n > 1)
+    monkeypatch.setattr(trees, "MOST_LEAVES", 10)
+    items = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "k long, v array<double>")
+    rows = [tuple(r) for r in trees.upgma_vectors(items, "k", "v").collect()]
+    assert sorted((r[4], round(r[3], 9)) for r in rows) == want
+    assert sum(r[1] is None for r in rows) == 1 and trees.newick(rows).count(",") == 59
