@@ -124,6 +124,34 @@ def hypergeometric_upper(k: int, K: int, n: int, N: int, compat: bool = True) ->
     return 1.0 if k <= max(0, n + K - N) else 1 - hypergeometric_cdf(k - 1, K, n, N)
 
 
+def hypergeometric_tail(first: int, K: int, n: int, N: int) -> float:
+    """P(X >= first), from ratios of neighbouring terms: no difference of large logarithms but far from the mode.
+
+    Terms are weighed against the one at the mode and divided by their sum; those 14 standard deviations away are below its rounding.
+    """
+    low, high = max(0, n + K - N), min(n, K)
+    if first > high:
+        return 0.0
+    if first <= low:
+        return 1.0
+    mode = min(max((n + 1) * (K + 1) // (N + 2), low), high)
+    reach = 40 + int(14 * math.sqrt(n * (K / N) * (1 - K / N) * (1 - n / N) * N / max(N - 1, 1)))
+
+    def up(i: int, k: int) -> np.ndarray:
+        """Weights of i + 1 to k, that of i being 1."""
+        x = np.arange(i, k, dtype=float)
+        return np.cumprod((K - x) * (n - x) / ((x + 1) * (N - K - n + x + 1)))
+
+    if first > mode + reach:
+        return math.exp(hypergeometric_log(first, K, n, N)) * (1 + float(up(first, min(high, first + reach)).sum()))
+    above = up(mode, min(high, max(first, mode) + reach))
+    x = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    below = np.cumprod(x * (N - K - n + x) / ((K - x + 1) * (n - x + 1)))
+    total = 1 + above.sum() + below.sum()
+    part = above[first - mode - 1 :].sum() if first > mode else 1 + above.sum() + below[: mode - first].sum()
+    return float(part / total)
+
+
 def hypergeometric_lower(k: int, K: int, n: int, N: int) -> float:
     return hypergeometric_cdf(k, K, n, N)
 
