@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -148,9 +149,15 @@ def edit_items(a: str, b: str) -> list[tuple[int, str, str]]:
     return out[::-1]
 
 
+@lru_cache(1 << 14)
+def _items(a: str, b: str) -> list[tuple[int, str, str]]:
+    """edit_items of the latest pairs of texts of a worker, each aligned once."""
+    return edit_items(a, b)
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ref", T.StringType()), T.StructField("alt", T.StringType())])))
 def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else [{"pos": p, "ref": r, "alt": t} for p, r, t in edit_items(x, y)] for x, y in zip(a, b, strict=True)])
+    return pd.Series([None if x is None or y is None else [{"pos": p, "ref": r, "alt": t} for p, r, t in _items(x, y)] for x, y in zip(a, b, strict=True)])
 
 
 def cpg(seq) -> Column:
