@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
+from ..storage import stored
 from . import aggregates as A
 from . import ordered as O
 
@@ -76,13 +77,16 @@ def tile_info(variants: DataFrame, size: int, fields: Mapping[str, Column], perc
 
     Fields are taken of variants with a frequency; a tile without any has 0. The count of at_least is 1 at the smallest, as in geq_count.
     """
-    t = variants.withColumn("tile", F.floor(F.col("pos") / size))
     by = ["contig_id", "tile"]
+    values = {f"_{i}": v for i, v in enumerate(fields.values())}
+    t = variants.select("contig_id", F.floor(F.col("pos") / size).alias("tile"), F.coalesce(F.col("impact").isin(list(impacts)), F.lit(False)).alias("_hit"), "af", *[v.alias(c) for c, v in values.items()])
+    t = stored(t.groupBy(*by, "_hit", "af", *values).agg(F.count("*").alias("_w")), "tiles")  # the variants are read once
     known = t.where("af IS NOT NULL")
-    base = t.groupBy(*by).agg(F.count("*").alias("variants"), F.count_if(F.col("impact").isin(list(impacts))).alias("consequence"))
-    out = base.join(O.geq_count(known, "af", at_least, by).withColumnRenamed("n", "at_least"), by, "left")
-    for name, value in fields.items():
-        p = O.percentiles(known.select(*by, value.alias("v")), "v", [percentile], by)
+    some = lambda test: F.coalesce(F.sum(F.when(test, F.col("_w"))), F.lit(0))
+    base = t.groupBy(*by).agg(F.sum("_w").alias("variants"), some(F.col("_hit")).alias("consequence"))
+    out = base.join(known.groupBy(*by).agg(F.greatest(some(F.col("af") >= at_least), F.lit(1)).alias("at_least")), by, "left")
+    for name, c in zip(fields, values, strict=True):
+        p = O.percentiles(known, c, [percentile], by, "_w")
         out = out.join(p.select(*by, F.col("value").alias(name)), by, "left")
     return out.fillna(0)
 

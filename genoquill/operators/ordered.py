@@ -20,13 +20,14 @@ def _index(n: Column, p: float) -> Column:
     return F.greatest(F.least(rounded, n - 1), F.lit(0)).cast("long")
 
 
-def _counted(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+def _counted(df: DataFrame, column: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
     """(by, column, _n, _before, _all): rows of each value, rows of smaller values, and all rows of the key. Nulls are left out.
+    A row counts as often as its weight says.
 
     Values are counted first and then dealt by range, so that neither a key nor a frequent value becomes one task: what a range
     holds below a value is a running sum in the range, and only the ranges' totals meet by key.
     """
-    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     n = stored(n.repartitionByRange(F.col(column)).withColumn("_range", F.spark_partition_id()), "counts")
     per = n.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -40,10 +41,10 @@ def _counted(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     return t.join(per, same).select(*[F.col(f"t.{c}") for c in (*by, column, "_n")], (F.col("_inside") + F.col("_offset")).alias("_before"), "_all")
 
 
-def percentiles(df: DataFrame, column: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by, p, value): the sorted value at the percentile's index. Nulls are left out."""
+def percentiles(df: DataFrame, column: str, ps: Sequence[float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(by, p, value): the sorted value at the percentile's index. Nulls are left out. A row counts as often as its weight says."""
     q = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), _index(F.col("_all"), p).alias("i")) for p in ps])).alias("_q")
-    t = _counted(df, column, by).select(*by, column, "_before", "_n", q)
+    t = _counted(df, column, by, weight).select(*by, column, "_before", "_n", q)
     return t.where("_q.i >= _before AND _q.i < _before + _n").select(*by, F.col("_q.p").alias("p"), F.col(column).alias("value"))
 
 
