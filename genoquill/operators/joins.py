@@ -77,18 +77,20 @@ def windows(contigs: DataFrame, size: int = 1 << 16) -> DataFrame:
 def reference_at(rows: DataFrame, contigs: DataFrame, start: str = "pos", length: Column | str = "1", size: int = 1 << 16) -> DataFrame:
     """rows with _reference: the length letters of the contig from start on, fewer at its end; null on an unknown contig.
 
-    A row meets only the windows of the reference that it touches, by equi-join on (contig, window), never a whole contig.
+    A place meets only the windows of the reference that it touches, by equi-join on (contig, window), never a whole contig; rows
+    at one place with one length share its text, which is looked up once.
     """
     n = length if isinstance(length, Column) else F.expr(length)
-    t = rows.withColumns({"_row": F.monotonically_increasing_id(), "_n": n.cast("long")})
-    t = stored(t, "rows")
-    lo, up = F.col(start), F.col(start) + F.col("_n")
-    touched = t.where((lo >= 0) & (up > lo)).select("_row", "contig_id", F.col(start).alias("_lo"), up.alias("_up"), F.explode(F.sequence(F.floor(lo / size), F.floor((up - 1) / size))).alias("window"))
-    at = F.greatest(F.col("_lo") - F.col("window") * size, F.lit(0))
-    part = F.substring(F.col("text"), (at + 1).cast("int"), (F.col("_up") - F.col("window") * size - at).cast("int"))
-    found = touched.join(windows(contigs, size), ["contig_id", "window"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("window", part.alias("p")))).alias("_parts"))
+    t = stored(rows.withColumn("_n", n.cast("long")), "rows")
+    spots = t.select("contig_id", F.col(start).alias("_lo"), "_n").where((F.col("_lo") >= 0) & (F.col("_n") > 0)).distinct()
+    lo, up = F.col("_lo"), F.col("_lo") + F.col("_n")
+    touched = spots.select("*", F.explode(F.sequence(F.floor(lo / size), F.floor((up - 1) / size))).alias("window"))
+    at = F.greatest(lo - F.col("window") * size, F.lit(0))
+    part = F.substring(F.col("text"), (at + 1).cast("int"), (up - F.col("window") * size - at).cast("int"))
+    found = touched.join(windows(contigs, size), ["contig_id", "window"]).groupBy("contig_id", F.col("_lo").alias(start), "_n").agg(F.array_sort(F.collect_list(F.struct("window", part.alias("p")))).alias("_parts"))
+    found = stored(found, "texts")
     known = contigs.select("contig_id").distinct().withColumn("_known", F.lit(True))
-    out = t.join(found, "_row", "left").join(known, "contig_id", "left")
+    out = t.join(found, ["contig_id", start, "_n"], "left").join(known, "contig_id", "left")
     text = F.coalesce(F.array_join(F.transform("_parts", lambda x: x["p"]), ""), F.lit(""))
     return out.withColumn("_reference", F.when(F.col("_known"), text)).select(*rows.columns, "_reference")
 

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,23 @@ def test_near_genes_are_counted(spark):
     assert tuple(J.proximity_totals(genes.limit(1), 5).first()) == (0, None)
 
 
+def test_repeated_work_is_done_once(spark):
+    """Texts aligned, values weighed and places looked up once for equal rows, with the same results."""
+    before = S._items.cache_info()
+    t = S.edits.func(pd.Series(["ring"] * 50), pd.Series(["rung"] * 50))
+    assert t.tolist() == [[{"pos": 1, "ref": "i", "alt": "u"}]] * 50 and S._items.cache_info().hits >= before.hits + 49
+    rows = [("k", i % 7) for i in range(40)]
+    whole, counted = spark.createDataFrame(rows, "g string, v long"), spark.createDataFrame(sorted((*k, rows.count(k)) for k in set(rows)), "g string, v long, w long")
+    ps = [0.0, 0.3, 0.5, 0.9, 1.0]
+    assert sorted(O.percentiles(counted, "v", ps, ["g"], "w").collect()) == sorted(O.percentiles(whole, "v", ps, ["g"]).collect())
+    contigs = spark.createDataFrame([("c", "ACGTACGTAC")], "contig_id string, sequence string")
+    at = [("c", 2, 5), ("c", 2, 5), ("c", 2, 1), ("c", 8, 9), ("c", -1, 2), ("c", 3, 0), ("x", 1, 1), ("c", None, 1)]
+    got = J.reference_at(spark.createDataFrame(at, "contig_id string, pos long, n int"), contigs, "pos", "n", 3)
+    assert sorted(((r.contig_id, r.pos, r.n), r._reference) for r in got.collect() if r.pos is not None) == sorted(zip(at[:7], ["GTACG", "GTACG", "G", "AC", "", "", None], strict=True))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_row" not in plan and got.count() == 8
+
+
 @pytest.mark.parametrize("by", [(), ("k",)])
 def test_percentiles_and_slices(spark, by):
     rng = random.Random(2)
